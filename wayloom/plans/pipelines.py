@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.model import current_rows, current_values, read
-from wayloom.operators import orphans, proximity
+from wayloom.operators import forest, increment, nested, orphans, proximity, widen
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,57 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.near_pairs(nodes, 10.0)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.named_parts(nested.emit_tagged(read(spark, d, "relation_json")))
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of all relation rows as a flat table; the schema is known, so no visitor is needed."""
+    return (
+        read(spark, d, "relations")
+        .select("id", "version", "sequence", F.posexplode("members").alias("place", "m"))
+        .where(F.col("m").isNotNull())
+        .select("id", "version", "sequence", "place", F.upper("m.type").alias("type"), F.col("m.id").alias("ref"), "m.role")
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    feeds = {k: read(spark, d, f"{k}_changeset") for k in ("node", "way", "relation")}
+    return increment.pending_changes(feeds, read(spark, d, "status"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return forest.relation_links(current_rows(read(spark, d, "relations"), ["members", "visible"]).where("visible"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.hierarchies(_links(spark, d))
+
+
+def tag_types(spark: SparkSession, d: str) -> dict[str, str]:
+    """The column types, a table of a fixed few rows that makes up the schema of the result."""
+    rows = read(spark, d, "tag_types").where("tag_key IS NOT NULL AND col_type IS NOT NULL").limit(10_000).collect()
+    return {r.tag_key: r.col_type for r in rows}
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for obj, table in (("node", "nodes"), ("way", "ways"), ("relation", "relations")):
+        one = current_rows(read(spark, d, table), ["tags", "visible"]).where("visible")
+        one = one.select(F.lit(obj).alias("obj"), "id", "tags")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    types = {k: t for k, t in tag_types(spark, d).items() if t != "text"}
+    return widen.unclean_cells(_tagged(spark, d), ["obj", "id"], "tags", types)
+
+
+def p7_wide(spark: SparkSession, d: str) -> DataFrame:
+    return widen.widen(_tagged(spark, d), ["obj", "id"], "tags", tag_types(spark, d))
+
+
 def current_sql(table: str, columns: str) -> str:
     return (
         f"(SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, sequence DESC) "
@@ -72,9 +123,57 @@ WHERE pow(sin(radians(b.y - a.y) / 2), 2)
   + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)
   <= pow(sin(10 / 6371008.8 / 2), 2)"""
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+_P5 = """
+WITH feed AS (
+  SELECT 'node' AS feed, id, version, sequence, date FROM node_changeset
+  UNION ALL SELECT 'way', id, version, sequence, date FROM way_changeset
+  UNION ALL SELECT 'relation', id, version, sequence, date FROM relation_changeset),
+marks AS (SELECT part, max(sequence) FILTER (WHERE state = 'ok') AS s,
+  arg_max(date, sequence) FILTER (WHERE state = 'ok' AND sequence IS NOT NULL) AS t FROM status WHERE part IS NOT NULL GROUP BY part)
+SELECT part, feed, id, version FROM feed, marks GROUP BY ALL
+HAVING NOT coalesce(bool_or(coalesce(sequence <= s AND date <= t, false)), false)"""
+
+_P6 = f"""
+WITH RECURSIVE rel AS {current_sql("relations", "id, members")},
+links AS (SELECT DISTINCT r.id AS p, r.m.id AS c FROM (SELECT id, unnest(members) AS m FROM rel) r
+  WHERE upper(r.m.type) = 'R' AND r.m.id <> r.id AND r.m.id IN (SELECT id FROM rel)),
+walk AS (
+  SELECT DISTINCT p AS id, p AS root, [p] AS path FROM links WHERE p NOT IN (SELECT c FROM links)
+  UNION ALL SELECT l.c, w.root, list_append(w.path, l.c) FROM walk w JOIN links l ON l.p = w.id WHERE NOT list_contains(w.path, l.c)),
+reach AS (SELECT p AS a, c AS b FROM links UNION SELECT r.a, l.c FROM reach r JOIN links l ON l.p = r.b),
+cyclic AS (SELECT a AS id FROM reach WHERE a = b)
+SELECT 'path' AS kind, id, root, len(path)::INT AS depth, array_to_string(path, '/') AS path FROM walk
+UNION ALL
+SELECT 'cycle', c.id, (SELECT min(x.b) FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a = c.id), 0, '' FROM cyclic c"""
+
+_TAGGED = " UNION ALL ".join(
+    f"SELECT '{o}' AS obj, id, unnest(map_entries(tags)) AS e FROM {current_sql(t, 'id, tags')}"
+    for o, t in (("node", "nodes"), ("way", "ways"), ("relation", "relations"))
+)
+_P7 = f"""
+WITH e AS (SELECT obj, id, lower(trim(e.key, ' ')) AS tag_key, trim(e.value, ' ') AS v FROM ({_TAGGED}) WHERE e.value IS NOT NULL),
+typed AS (SELECT e.*, t.col_type AS k FROM e JOIN tag_types t USING (tag_key) WHERE t.col_type <> 'text' AND v <> ''),
+parsed AS (SELECT *, CASE
+  WHEN k = 'int' AND regexp_full_match(v, '[+-]?[0-9]+') THEN v::HUGEINT::VARCHAR
+  WHEN k = 'double' AND regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?') THEN (v::DOUBLE + 0)::VARCHAR
+  WHEN k = 'bool' AND lower(v) IN ('yes', 'true', '1') THEN 't'
+  WHEN k = 'bool' AND lower(v) IN ('no', 'false', '0') THEN 'f'
+  WHEN k = 'date' AND regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(v AS DATE)::VARCHAR END AS r FROM typed)
+SELECT obj, id, tag_key, 'bad' AS state FROM parsed WHERE r IS NULL GROUP BY ALL
+UNION ALL
+SELECT obj, id, tag_key, 'conflict' FROM parsed GROUP BY obj, id, tag_key HAVING count(DISTINCT r) > 1"""
+
+QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p3_found": p3_found,
+    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide,
+}
 ORACLES = {
     "p1_found": _P1,
     "p1_report": f"SELECT src, period, ref_type, state, count(*) AS refs, count(DISTINCT ref_id) AS keys FROM ({_P1}) GROUP BY ALL",
+    "p2_members": "SELECT id, version, sequence, place, upper(m.type) AS type, m.id AS ref, m.role AS role FROM (SELECT id, version, "
+    "sequence, unnest(members) AS m, (generate_subscripts(members, 1) - 1)::INT AS place FROM relations) WHERE m IS NOT NULL",
     "p3_found": _P3,
+    "p5_found": _P5,
+    "p6_found": _P6,
+    "p7_found": _P7,
 }
