@@ -1,8 +1,8 @@
 """Reading level of each document by regularised ordinal regression.
 
 A text is cut into stretches of words; each gets a score from its lexical diversity, the rarity of its
-words in the whole corpus, connectives, a proxy of clause depth and lengths. The level that most
-stretches have is the document's, so that quoted passages and templates do not carry it away.
+words in the whole corpus, connectives, a proxy of clause depth and lengths. The level with the highest
+mean probability over the stretches is the document's: quoted passages and templates do not carry it away.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ STRETCH, LEAST = 40, 40
 BUCKETS = 1 << 17
 #: Graded rows that the model is fitted on at most.
 SAMPLES = 20_000
+_BREAK = re.compile(r"</?(?:p|br|li|div|h[1-6]|tr|td)\b[^<>]{0,300}>", re.I)
 _TAG = re.compile(r"<[^<>]{0,300}>")
-_SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
-_WORD = re.compile(r"[^\W\d_]+")
+_ASIDE = re.compile(r"\([^()]{0,200}\)")
+_SENTENCE = re.compile(r"(?<=[^\W\d_]{2})[.!?]+(?=\s|$)|(?<=[^\W\d_.!?])[ \t]*\n+(?=\s*[^\W\d_a-z])|(?<=[^\W\d_])[ \t]*\n\n")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_DERIVED = re.compile(r".{2,}(?:tions?|sions?|ity|ities|ments?|ances?|ences?|ously|ious|ous|ively|ive|ical|ional|ably|able|ible|ised|ated|ating|ism|ships?|ology)$")
 
 # Frequent words that mark a language
 LANGUAGE = {
@@ -36,16 +39,21 @@ LANGUAGE = {
     "fr": "le la les un une et est était dans nous je pas avec très aussi mais des du de ce cette ces il elle on notre nos pour sur en a ont avons qui que plus au aux par sa son ses toujours puis reste semble".split(),
     "es": "el la los las un una y es era fue en nosotros no con muy también pero del de al este esta estos por para que se su sus nuestro nuestra hemos ha lo como más me mi nos todo siempre cuando porque".split(),
 }
-# Words that join clauses
-CONNECTIVES = frozenset(
-    "because although though while whereas since unless until whenever when if that which who whom whose where however therefore moreover "
-    "furthermore nevertheless nonetheless notwithstanding inasmuch insofar despite regarding concerning consequently thus hence having so then "
-    "and but or nor neither either both as than after before whether".split()
+# Connectives of plain, of educated and of formal language
+PLAIN = frozenset("and but or so then because when if after before until now".split())
+EDUCATED = frozenset("although though while whereas unless whenever since despite during throughout regarding concerning compared which who whose where as than both".split())
+FORMAL = frozenset(
+    "notwithstanding inasmuch insofar however upon neither nor therefore moreover furthermore nevertheless nonetheless consequently thus hence "
+    "whereby wherein thereby albeit lest having whom whether".split()
 )
-DEEP = frozenset(
-    "that which who whom whose whereas although notwithstanding inasmuch insofar however having unless whenever despite upon whether".split()
-)
-FEATURES = ("diversity", "rarity", "rare share", "connectives", "clause depth", "commas", "word length", "long words", "very long words", "short words", "sentence length")
+# Words that open a clause within a clause
+DEEP = frozenset("that which who whom whose where whereas although unless whenever because when if while until having being been".split())
+# Personal words
+PERSONAL = frozenset("i you he she it we they me him us them my your his her its our their mine".split())
+FEATURES = (
+    "diversity", "rarity", "plain connectives", "educated connectives", "formal connectives", "clause depth", "commas", "word length",
+    "derived words", "short words", "sentence length", "personal words", "of", "the",
+)
 
 
 def is_english(ws: list[str]) -> bool:
@@ -91,28 +99,42 @@ def frequency_table(texts: DataFrame) -> np.ndarray:
 
 def plain(text: str) -> str:
     text = visible(text)
-    return _TAG.sub(" ", text) if "<" in text else text
+    return _TAG.sub(" ", _BREAK.sub("\n\n", text)) if "<" in text else text
 
 
 def stretch_features(text: str, rarity: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each stretch of a text. rarity: minus the log of each bucket's share of all words."""
-    pieces = [(m.group().casefold(), m.end()) for m in _WORD.finditer(text)]
+    """A row of FEATURES for each stretch of a text. rarity: minus the log of each bucket's share of all words.
+
+    Names say little about a level: words with a capital within a sentence do not count for lengths and
+    rarity, unless most words have one. Asides in brackets are left out.
+    """
+    text = _ASIDE.sub(" ", text)
+    pieces = [(m.group(), m.end()) for m in _WORD.finditer(text)]
     n = len(pieces)
     if not n:
         return np.zeros((0, len(FEATURES)))
+    ends = np.array([m.start() for m in _SENTENCE.finditer(text)] or [-1])
+    capital = np.array([w[0].isupper() for w, _ in pieces])
+    tell = capital.mean() < 0.4
+    opens = np.array([True] + [bool(re.search(r"[.!?:>\n]", text[pieces[i][1] : pieces[i + 1][1] - len(pieces[i + 1][0])])) for i in range(n - 1)])
+    name = capital & ~opens & np.array([w not in ("I", "I'm") for w, _ in pieces]) & tell
+    name |= np.array(["-" in w or len(w) > 24 for w, _ in pieces])
+    low = [w.casefold() for w, _ in pieces]
     many = max(1, round(n / STRETCH))
     cuts = [round(i * n / many) for i in range(many + 1)]
     out = []
     for a, b in zip(cuts, cuts[1:]):
-        ws = [w for w, _ in pieces[a:b]]
-        part = text[pieces[a - 1][1] if a else 0 : pieces[b - 1][1]]
-        size = np.array([len(w) for w in ws])
-        rare = rarity[[bucket(w) for x in ws for w in words(x) or [x]]]
-        k = len(ws)
-        ends = len(_SENTENCE.findall(part))
+        ws, k = low[a:b], b - a
+        begin, end = (pieces[a - 1][1] if a else 0), pieces[b - 1][1]
+        usual = [w for w, x in zip(ws, name[a:b]) if not x] or ws
+        size = np.array([min(len(w), 14) for w in usual])
+        rare = np.minimum(rarity[[bucket(x) for w in usual for x in words(w)] or [0]], 12)
+        share = lambda some: sum(w in some for w in ws) / k
+        stops = int(((ends >= begin) & (ends <= end)).sum())
         out.append((
-            len(set(ws)) / k, rare.mean(), (rare > 9).mean(), sum(w in CONNECTIVES for w in ws) / k, sum(w in DEEP for w in ws) / k, part.count(",") / k,
-            np.log(size.mean()), (size >= 7).mean(), (size >= 11).mean(), (size <= 4).mean(), np.log(min(40.0, k / (ends + 1))),
+            len(set(ws)) / k, rare.mean(), share(PLAIN), share(EDUCATED), share(FORMAL), share(DEEP), text.count(",", begin, end) / k, size.mean(),
+            sum(_DERIVED.match(w) is not None for w in usual) / k, (size <= 4).mean(), np.log(min(40.0, k / (stops + 0.5))), share(PERSONAL),
+            ws.count("of") / k, ws.count("the") / k,
         ))
     return np.array(out, float)
 
@@ -133,6 +155,11 @@ class Ordinal:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.weights
 
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Probability of each level."""
+        above = 1 / (1 + np.exp(np.clip(self.borders[None, :] - self.scores(x)[:, None], -40, 40)))
+        return -np.diff(np.c_[np.ones(len(x)), above, np.zeros(len(x))], axis=1)
+
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: int = 1_500) -> Ordinal:
     """Least penalised loss by gradient descent with momentum; the borders stay ordered."""
@@ -173,12 +200,7 @@ def level_of(text: str, model: Ordinal, rarity: np.ndarray) -> int | None:
     x = stretch_features(text, rarity)
     if not len(x):
         return None
-    votes = np.bincount(model.levels(x))
-    best = np.flatnonzero(votes == votes.max())
-    if len(best) == 1:
-        return int(best[0])
-    middle = np.median(model.scores(x))
-    return int(best[np.argmin(np.abs(best - (1 + (middle > model.borders).sum())))])
+    return 1 + int(np.argmax(model.chances(x).sum(0)))
 
 
 def rate(documents: DataFrame, graded: DataFrame) -> DataFrame:
