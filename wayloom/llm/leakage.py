@@ -30,7 +30,7 @@ RUN = 10
 SHARE, STRETCH = 0.75, 1.5
 ITEM_SPAN, TEXT_SPAN = 4, 6
 #: Items of one pass over the texts; more items make more passes, so that what a task holds is bounded.
-BLOCK_ITEMS, BLOCK_WORDS = 2_000, 200_000
+BLOCK_ITEMS, BLOCK_WORDS = 500, 40_000
 _BITS = 22
 
 
@@ -116,6 +116,9 @@ class Matcher:
         self.runs = _Table(join(runs, np.uint64), join(of, np.int64))
         self.singles = _Table(_seed(join(single, np.int64)), join(sof, np.int64))
         self.bit = [self._bits(w) for w in self.items]
+        self.member = np.zeros((len(self.items), len(self.number) + 1), bool)
+        for k, w in enumerate(self.items):
+            self.member[k, w] = True
 
     @staticmethod
     def _bits(item: list[int]) -> dict[int, int]:
@@ -124,35 +127,40 @@ class Matcher:
             out[w] = out.get(w, 0) | 1 << i
         return out
 
-    def common(self, k: int, stretch: list[int]) -> int:
-        """Words of item k that the stretch holds in order (longest common subsequence, bits in parallel)."""
-        bit, full = self.bit[k], (1 << len(self.items[k])) - 1
+    @staticmethod
+    def common(marks: list[int], full: int) -> int:
+        """Length of the longest common subsequence of an item and a stretch, bits in parallel. marks: for
+        each word of the stretch that the item has, the bits of its places in the item; full: a bit for each place."""
         v = full
-        for w in stretch:
-            if m := bit.get(w, 0):
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        return len(self.items[k]) - v.bit_count()
-
-    def holds(self, k: int, text: list[int], starts: np.ndarray) -> bool:
-        """Whether a stretch that begins at or after the given places, or up to a stretch before, fulfils the second case."""
+        for m in marks:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        return full.bit_count() - v.bit_count()
+
+    def holds(self, k: int, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
+        """Whether some stretch that reaches from one of the places first to the one in last fulfils the second case.
+
+        Only those are tried that hold enough words of the item in whatever order.
+        """
         n, length = int(self.n[k]), int(self.stretch[k])
-        least = math.ceil(SHARE * n - 1e-9)
+        least, full = math.ceil(SHARE * n - 1e-9), (1 << n) - 1
+        low = max(0, int(last[0]) - length + 1)
+        inside = np.flatnonzero(self.member[k, text[low : int(first[-1]) + length]]) + low
+        ends = np.searchsorted(inside, inside + length)
+        tries = np.flatnonzero(ends - np.arange(len(inside)) >= least)
+        if len(tries):  # a try begins at or before a place first, and reaches the place last that goes with it
+            at = np.minimum(np.searchsorted(first, inside[tries]), len(first) - 1)
+            tries = tries[(first[at] >= inside[tries]) & (last[at] < inside[tries] + length)]
+        if not len(tries):
+            return False
         bit = self.bit[k]
-        regions, end = [], -1
-        for s in starts.tolist():
-            lo, hi = max(0, s - length + 1), min(len(text), s + length)
-            if lo <= end:
-                regions[-1][1] = end = max(end, hi)
-            else:
-                regions.append([lo, hi])
-                end = hi
-        for lo, hi in regions:
-            for a in range(lo, hi, length):  # in pieces of two stretches, each stretch lies in one of them
-                if self.common(k, text[a : min(hi, a + 2 * length)]) >= least and any(
-                    text[s] in bit and self.common(k, text[s : s + length]) >= least for s in range(a, min(a + length, hi))
-                ):
-                    return True
+        marks = [bit[w] for w in text[inside].tolist()]
+        while len(tries):  # pieces of a stretch and a half: each try from their first half lies within one
+            i = int(tries[0])
+            near = tries[inside[tries] <= inside[i] + length // 2]
+            if self.common(marks[i : int(ends[near[-1]])], full) >= least and any(self.common(marks[j : int(ends[j])], full) >= least for j in near.tolist()):
+                return True
+            tries = tries[len(near) :]
         return False
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int]]:
@@ -185,25 +193,25 @@ class Matcher:
             at = np.flatnonzero(known[: size - a - b] & known[a : size - b] & known[a + b :]) if size > a + b else np.zeros(0, np.int64)
             where, item = self.seeds.hits(_seed(t[at], t[at + a], t[at + a + b]))
             pairs.append(item * size + at[where])
-        code = np.unique(np.concatenate(pairs))
+        code = np.sort(np.concatenate(pairs))
+        code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
         item = code // size
-        ahead = np.arange(len(code)) + np.maximum(self.need[item], 1) - 1
-        ok = (self.need[item] > 0) & (ahead < len(code))
-        reach = np.where(ok, code[np.minimum(ahead, max(0, len(code) - 1))] - code, 1 << 60) if len(code) else code
-        hit = code[reach < self.stretch[item]] if len(code) else code
+        ahead = np.minimum(np.arange(len(code)) + np.maximum(self.need[item], 1) - 1, max(0, len(code) - 1))
+        enough = (self.need[item] > 0) & (np.arange(len(code)) + self.need[item] <= len(code))
+        enough &= code[ahead] - code < self.stretch[item]
+        item, first, last = item[enough], code[enough] % size, code[ahead][enough] % size
         if len(self.singles.keys):
             at = np.flatnonzero(known)
             where, short = self.singles.hits(_seed(t[at]))
-            hit = np.concatenate([hit, short * size + at[where]])
-        item, at = hit // size, hit % size
-        docs = np.searchsorted(begins, at, "right") - 1
-        order = np.lexsort((at, item, docs))
-        item, at, docs = item[order], at[order], docs[order]
+            item, first, last = np.r_[item, short], np.r_[first, at[where]], np.r_[last, at[where]]
+        docs = np.searchsorted(begins, first, "right") - 1
+        order = np.lexsort((first, item, docs))
+        item, first, last, docs = item[order], first[order], last[order], docs[order]
         cuts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (item[1:] != item[:-1])]) if len(item) else np.zeros(0, np.int64)
         self.tried = len(cuts)
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
             d, k = int(docs[a]), int(item[a])
-            if (d, k) not in found and self.holds(k, flat[begins[d] : begins[d + 1]], at[a:b] - begins[d]):
+            if (d, k) not in found and self.holds(k, t[begins[d] : begins[d + 1]], first[a:b] - begins[d], last[a:b] - begins[d]):
                 found.add((d, k))
         return [(d, self.ids[k]) for d, k in found]
 

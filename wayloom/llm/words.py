@@ -9,6 +9,9 @@ import unicodedata
 # Invisible characters (soft hyphen, grapheme joiner, zero-width, direction marks, word joiner, byte order mark)
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORD = re.compile(r"[^\W_]+")
+#: Marks of the Latin, Greek and Cyrillic scripts; what may hold marks of others.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_OTHER = re.compile("[\u0590-\u1dbf\u2c00-\ufe1f\U00010000-\U0010ffff]")
 
 
 def visible(text: str) -> str:
@@ -24,5 +27,7 @@ def words(text: str | None) -> list[str]:
         return []
     text = visible(text).casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+        if _OTHER.search(text):
+            text = "".join(c for c in text if not unicodedata.combining(c))
     return _WORD.findall(text)
