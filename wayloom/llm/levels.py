@@ -29,6 +29,7 @@ _BREAK = re.compile(r"</?(?:p|br|li|div|h[1-6]|tr|td)\b[^<>]{0,300}>", re.I)
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _ASIDE = re.compile(r"\([^()]{0,200}\)")
 _SENTENCE = re.compile(r"(?<=[^\W\d_]{2})[.!?]+(?=\s|$)|(?<=[^\W\d_.!?])[ \t]*\n+(?=\s*[^\W\d_a-z])|(?<=[^\W\d_])[ \t]*\n\n")
+_OPENS = re.compile(r"[.!?:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _DERIVED = re.compile(r".{2,}(?:tions?|sions?|ity|ities|ments?|ances?|ences?|ously|ious|ous|ively|ive|ical|ional|ably|able|ible|ised|ated|ating|ism|ships?|ology)$")
 
@@ -56,15 +57,6 @@ FEATURES = (
 )
 
 
-def is_english(ws: list[str]) -> bool:
-    """By the frequent words of four languages: English must have more than each other one."""
-    counts = {k: sum(w in v for w in ws) for k, v in _FREQUENT.items()}
-    return counts["en"] > 0 and all(counts["en"] > n for k, n in counts.items() if k != "en")
-
-
-_FREQUENT = {k: frozenset(w for x in v for w in words(x)) for k, v in LANGUAGE.items()}
-
-
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
@@ -102,41 +94,98 @@ def plain(text: str) -> str:
     return _TAG.sub(" ", _BREAK.sub("\n\n", text)) if "<" in text else text
 
 
-def stretch_features(text: str, rarity: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each stretch of a text. rarity: minus the log of each bucket's share of all words.
+#: What is known of a word by itself.
+_OWN = ("plain", "educated", "formal", "deep", "personal", "of", "the", "length", "derived", "short", "rarity", "odd", "seen", *LANGUAGE)
+_AT = {name: i for i, name in enumerate(_OWN)}
+_FREQUENT = {k: frozenset(x for w in v for x in words(w)) for k, v in LANGUAGE.items()}
 
-    Names say little about a level: words with a capital within a sentence do not count for lengths and
-    rarity, unless most words have one. Asides in brackets are left out.
-    """
-    text = _ASIDE.sub(" ", text)
-    pieces = [(m.group(), m.end()) for m in _WORD.finditer(text)]
-    n = len(pieces)
-    if not n:
-        return np.zeros((0, len(FEATURES)))
-    ends = np.array([m.start() for m in _SENTENCE.finditer(text)] or [-1])
-    capital = np.array([w[0].isupper() for w, _ in pieces])
-    tell = capital.mean() < 0.4
-    opens = np.array([True] + [bool(re.search(r"[.!?:>\n]", text[pieces[i][1] : pieces[i + 1][1] - len(pieces[i + 1][0])])) for i in range(n - 1)])
-    name = capital & ~opens & np.array([w not in ("I", "I'm") for w, _ in pieces]) & tell
-    name |= np.array(["-" in w or len(w) > 24 for w, _ in pieces])
-    low = [w.casefold() for w, _ in pieces]
-    many = max(1, round(n / STRETCH))
-    cuts = [round(i * n / many) for i in range(many + 1)]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        ws, k = low[a:b], b - a
-        begin, end = (pieces[a - 1][1] if a else 0), pieces[b - 1][1]
-        usual = [w for w, x in zip(ws, name[a:b]) if not x] or ws
-        size = np.array([min(len(w), 14) for w in usual])
-        rare = np.minimum(rarity[[bucket(x) for w in usual for x in words(w)] or [0]], 12)
-        share = lambda some: sum(w in some for w in ws) / k
-        stops = int(((ends >= begin) & (ends <= end)).sum())
-        out.append((
-            len(set(ws)) / k, rare.mean(), share(PLAIN), share(EDUCATED), share(FORMAL), share(DEEP), text.count(",", begin, end) / k, size.mean(),
-            sum(_DERIVED.match(w) is not None for w in usual) / k, (size <= 4).mean(), np.log(min(40.0, k / (stops + 0.5))), share(PERSONAL),
-            ws.count("of") / k, ws.count("the") / k,
-        ))
-    return np.array(out, float)
+
+class Lexicon:
+    """Numbers of words and what is known of each; looked up once a word. rarity: minus the log of each bucket's share of all words."""
+
+    def __init__(self, rarity: np.ndarray):
+        self.rarity = rarity
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((4096, len(_OWN)), np.float32)
+
+    def _add(self, word: str) -> int:
+        n = self.number[word] = len(self.number)
+        if n >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        bare = words(word)
+        size = min(len(word), 14)
+        self.table[n] = [
+            word in PLAIN, word in EDUCATED, word in FORMAL, word in DEEP, word in PERSONAL, word == "of", word == "the", size,
+            _DERIVED.match(word) is not None, size <= 4, min(12, np.mean([self.rarity[bucket(x)] for x in bare]) if bare else 12),
+            "-" in word or len(word) > 24, 1, *(any(x in v for x in bare) for v in _FREQUENT.values()),
+        ]
+        return n
+
+    def look(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of a text, and a row of _OWN for each."""
+        if len(self.number) > 200_000:
+            self._reset()
+        get = self.number.get
+        ids = np.array([n if (n := get(w)) is not None else self._add(w) for w in low], np.int64)
+        return ids, self.table[ids]
+
+
+def is_english(rows: np.ndarray) -> bool:
+    """By the frequent words of four languages: English must have more than each other one."""
+    counts = dict(zip(LANGUAGE, rows[:, _AT["seen"] + 1 :].sum(0)))
+    return counts["en"] > 0 and all(counts["en"] > n for k, n in counts.items() if k != "en")
+
+
+class Text:
+    """A text's words, where they are, and what is known of them. Asides in brackets are left out."""
+
+    def __init__(self, text: str, lexicon: Lexicon):
+        self.text = text = _ASIDE.sub(" ", plain(text)) if "(" in text else plain(text)
+        self.words = _WORD.findall(text)
+        spans = [m.span() for m in _WORD.finditer(text)]
+        self.begins, self.ends = (np.array([s[i] for s in spans], np.int64) for i in (0, 1))
+        self.ids, self.rows = lexicon.look([w.casefold() for w in self.words]) if self.words else (np.zeros(0, np.int64), np.zeros((0, len(_OWN)), np.float32))
+
+    def features(self) -> np.ndarray:
+        """A row of FEATURES for each stretch.
+
+        Names say little about a level: words with a capital within a sentence do not count for lengths
+        and rarity, unless most words have one.
+        """
+        n, text = len(self.words), self.text
+        if not n:
+            return np.zeros((0, len(FEATURES)))
+        many = max(1, round(n / STRETCH))
+        cuts = np.round(np.arange(many + 1) * n / many).astype(np.int64)
+        total = lambda v: np.diff(np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, 0, np.float64)])[cuts], axis=0)
+        capital = np.array([w[0].isupper() for w in self.words])
+        odd = self.rows[:, _AT["odd"]] > 0
+        if capital.mean() < 0.4:
+            marks = np.array([m.start() for m in _OPENS.finditer(text)] or [-1])
+            before = np.concatenate([[0], self.ends[:-1]])
+            inner = np.searchsorted(marks, before) == np.searchsorted(marks, self.begins)
+            inner[0] = False
+            odd = odd | (capital & inner & np.array([w != "I" for w in self.words]))
+        usual = np.where(odd, 0, 1)[:, None]
+        all_ = total(self.rows)
+        some = total(self.rows * usual)
+        size = np.diff(cuts)
+        usual_n = some[:, _AT["seen"]]
+        base = np.where((usual_n > 0)[:, None], some, all_) / np.where(usual_n > 0, usual_n, size)[:, None]
+        stops = np.array([m.start() for m in _SENTENCE.finditer(text)], np.int64)
+        commas = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord(","))
+        edges = np.concatenate([[0], self.ends[cuts[1:] - 1]])
+        count = lambda at: np.diff(np.searchsorted(at, edges, "right"))
+        share = lambda k: all_[:, _AT[k]] / size
+        different = np.array([len(set(self.ids[a:b].tolist())) for a, b in zip(cuts, cuts[1:])])
+        return np.column_stack([
+            different / size, base[:, _AT["rarity"]], share("plain"), share("educated"), share("formal"), share("deep"), count(commas) / size,
+            base[:, _AT["length"]], base[:, _AT["derived"]], base[:, _AT["short"]], np.log(np.minimum(40.0, size / (count(stops) + 0.5))),
+            share("personal"), share("of"), share("the"),
+        ])
 
 
 @dataclass
@@ -181,26 +230,23 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: int = 1_500)
     return Ordinal(mean, scale, p[:k], p[k] + np.r_[0, np.cumsum(np.exp(p[k + 1 :]))])
 
 
-def fit_graded(samples: list[tuple[str, int]], rarity: np.ndarray) -> Ordinal:
+def fit_graded(samples: list[tuple[str, int]], lexicon: Lexicon) -> Ordinal:
     rows, grades = [], []
     for text, level in samples:
-        f = stretch_features(plain(text), rarity)
+        f = Text(text, lexicon).features()
         rows.append(f)
         grades += [level] * len(f)
     return fit(np.concatenate(rows), np.array(grades))
 
 
-def level_of(text: str, model: Ordinal, rarity: np.ndarray) -> int | None:
+def level_of(text: str, model: Ordinal, lexicon: Lexicon) -> int | None:
     """The level of a text, None if it is not English or has fewer than LEAST words between white space."""
     if len(text.split()) < LEAST:
         return None
-    text = plain(text)
-    if not is_english(words(text)):
-        return None
-    x = stretch_features(text, rarity)
-    if not len(x):
+    t = Text(text, lexicon)
+    if not len(t.words) or not is_english(t.rows):
         return None
-    return 1 + int(np.argmax(model.chances(x).sum(0)))
+    return 1 + int(np.argmax(model.chances(t.features()).sum(0)))
 
 
 def rate(documents: DataFrame, graded: DataFrame) -> DataFrame:
@@ -218,12 +264,13 @@ def rate(documents: DataFrame, graded: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     if len({y for _, y in samples}) < 2 or max(y for _, y in samples) < 2:
         return spark.createDataFrame([], "doc_id bigint, level int")
-    shared = spark.sparkContext.broadcast((fit_graded(samples, rarity), rarity))
+    shared = spark.sparkContext.broadcast((fit_graded(samples, Lexicon(rarity)), rarity))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, rarity = shared.value
+        lexicon = Lexicon(rarity)
         for part in parts:
-            levels = [level_of(t, model, rarity) if isinstance(t, str) else None for t in part["text"]]
+            levels = [level_of(t, model, lexicon) if isinstance(t, str) else None for t in part["text"]]
             keep = [v is not None for v in levels]
             yield pd.DataFrame({"doc_id": part["doc_id"][keep].astype("int64"), "level": [v for v in levels if v is not None]}).astype({"level": "int32"})
 
