@@ -78,18 +78,23 @@ def point_of_ewkb(geom: Column) -> Column:
     return unpack(geom)
 
 
-def crosses_box(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a line touches a box: some part of it is left after clipping at the four sides."""
+def stretch_crosses_box(a: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the straight line between two points touches a box: some part of it is left after clipping at the four sides."""
+
+    def clip(lo: Column, hi: Column, p: Column, d: Column) -> tuple[Column, Column]:
+        s, t = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
+        inside = (p >= lo) & (p <= hi)
+        begin = F.when(d != 0, F.least(s, t)).when(inside, 0.0).otherwise(2.0)
+        end = F.when(d != 0, F.greatest(s, t)).when(inside, 1.0).otherwise(-1.0)
+        return begin, end
 
-    def part(a: Column, b: Column) -> Column:
-        def clip(lo: Column, hi: Column, p: Column, d: Column) -> tuple[Column, Column]:
-            inside = F.when((p >= lo) & (p <= hi), 0.0).otherwise(2.0), F.when((p >= lo) & (p <= hi), 1.0).otherwise(-1.0)
-            s, t = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
-            return F.when(d == 0, inside[0]).otherwise(F.least(s, t)), F.when(d == 0, inside[1]).otherwise(F.greatest(s, t))
+    fx, tx = clip(x0, x1, a["x"], b["x"] - a["x"])
+    fy, ty = clip(y0, y1, a["y"], b["y"] - a["y"])
+    return F.greatest(F.lit(0.0), fx, fy) <= F.least(F.lit(1.0), tx, ty)
 
-        fx, tx = clip(x0, x1, a["x"], b["x"] - a["x"])
-        fy, ty = clip(y0, y1, a["y"], b["y"] - a["y"])
-        return F.greatest(F.lit(0.0), fx, fy) <= F.least(F.lit(1.0), tx, ty)
 
-    pairs = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line)), part)
+def crosses_box(line: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a line of two points and more touches a box."""
+    rest = F.slice(line, F.lit(2), F.size(line))
+    pairs = F.zip_with(F.slice(line, F.lit(1), F.size(line) - 1), rest, lambda a, b: stretch_crosses_box(a, b, x0, y0, x1, y1))
     return F.when(F.size(line) > 1, F.exists(pairs, lambda p: p)).otherwise(F.lit(False))

@@ -41,7 +41,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _rank() -> Column:
     """Orders the rows of an id: by version, then by sequence; nulls come first."""
     low = F.lit(-(2**31))
-    return F.coalesce("version", low).cast("long") * F.lit(2**32) + F.coalesce("sequence", low).cast("long")
+    above = F.coalesce("sequence", low).cast("long") - low.cast("long")
+    return F.coalesce("version", low).cast("long") * F.lit(2**32) + above
 
 
 def current_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -95,12 +95,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     A key that many rows refer to is matched once: the keys are aggregated before the shuffle.
     What was found goes back to the references by a join on the key, in which Spark splits the
     partition of a hot key. References with null ref_id are no references; with a null type they
-    have no table and are left out, with a type of no parent table they are missing if the type
-    is among those of parents and left out if not. A null date is never too early, its period
-    is ``none``.
+    have no table and are left out; with a type that parents do not have they are missing. A null date is never too early, its period
+    is ``none``. A reference given twice is returned twice.
     """
     at = F.unix_micros("date")
-    refs = refs.where(F.col("ref_id").isNotNull() & F.col("ref_type").isNotNull())
+    refs = refs.where(F.col("ref_id").isNotNull() & F.col("ref_type").isNotNull()).select("src", "src_id", "ref_type", "ref_id", "date")
     keys = refs.groupBy("ref_type", "ref_id").agg(F.min(at).alias("since"))
     bad = match_runs(keys, key_runs(parents))
     day = F.date_from_unix_date(F.floor(at / F.lit(86_400_000_000)).cast("int"))

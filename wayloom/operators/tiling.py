@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.geo import crosses_box
+from wayloom.functions.geo import stretch_crosses_box
 from wayloom.functions.tiles import tile_box, tile_column, tile_id, tile_row
 from wayloom.operators.relational import upsert
 
@@ -14,26 +14,27 @@ def touched_tiles(lines: DataFrame, first: int, last: int) -> DataFrame:
     """Distinct (zoom, x, y) of the tiles that the lines (geom, projected) cross, from zoom first to last.
 
     Single stretches go down the pyramid: a tile's four children are tried only where the stretch
-    crosses the tile, so the work follows the tiles crossed, not the box around a line.
+    crosses the tile, so the work follows the tiles crossed, not the box around a line. A tile that is
+    crossed has a child that is, so the upper tiles are the ancestors of those at the last zoom.
     """
-    stretch = F.transform(F.sequence(F.lit(0), F.size("geom") - 2), lambda i: F.slice("geom", i + 1, F.lit(2)))
-    level = lines.where(F.size("geom") > 1).select(F.explode(stretch).alias("s"))
-    a, b = F.get("s", 0), F.get("s", 1)
+    stretch = F.transform(F.sequence(F.lit(0), F.size("geom") - 2), lambda i: F.struct(F.get("geom", i).alias("a"), F.get("geom", i + 1).alias("b")))
+    level = lines.where(F.size("geom") > 1).select(F.inline(stretch))
 
     def span(f, c: str) -> Column:
-        lo, hi = f(a[c], F.lit(first)), f(b[c], F.lit(first))
+        lo, hi = f(F.col("a")[c], F.lit(first)), f(F.col("b")[c], F.lit(first))
         return F.explode(F.sequence(F.least(lo, hi), F.greatest(lo, hi)))
 
-    level = level.select("s", F.lit(first).alias("zoom"), span(tile_column, "x").alias("x")).select("s", "zoom", "x", span(tile_row, "y").alias("y"))
-    out = None
+    level = level.select("a", "b", span(tile_column, "x").alias("x")).select("a", "b", "x", span(tile_row, "y").alias("y"))
+    kids = F.array(*(F.struct((F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)))
     for zoom in range(first, last + 1):
-        box = tile_box(F.col("zoom"), F.col("x"), F.col("y"))
-        level = level.where(crosses_box(F.col("s"), box["x0"], box["y0"], box["x1"], box["y1"]))
-        tiles = level.select("zoom", "x", "y").distinct()
-        out = tiles if out is None else out.unionByName(tiles)
-        kids = F.array(*(F.struct((F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)))
-        level = level.select("s", F.lit(zoom + 1).alias("zoom"), F.inline(kids))
-    return out
+        box = tile_box(F.lit(zoom), F.col("x"), F.col("y"))
+        level = level.where(stretch_crosses_box(F.col("a"), F.col("b"), box["x0"], box["y0"], box["x1"], box["y1"]))
+        if zoom < last:
+            level = level.select("a", "b", F.inline(kids))
+    up = F.explode(F.sequence(F.lit(0), F.lit(last - first)))
+    deepest = level.select("x", "y").distinct().select("x", "y", up.alias("up"))
+    shift = lambda c: F.call_function("shiftright", F.col(c), F.col("up"))
+    return deepest.select((F.lit(last) - F.col("up")).alias("zoom"), shift("x").alias("x"), shift("y").alias("y")).distinct()
 
 
 def plan_tiles(data: DataFrame, change: DataFrame | None, first: int, last: int, prerender: int) -> DataFrame:

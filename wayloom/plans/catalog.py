@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wayloom.plans import pipelines
+from wayloom.plans import derived, pipelines
 
-QUERIES = {**pipelines.QUERIES}
-ORACLES = {**pipelines.ORACLES}
+QUERIES = {**pipelines.QUERIES, **derived.QUERIES}
+ORACLES = {**pipelines.ORACLES, **derived.ORACLES}
 flagship = pipelines.QUERIES["p1_found"]
