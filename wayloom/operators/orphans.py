@@ -122,15 +122,18 @@ def way_references(ways: DataFrame) -> DataFrame:
 
 
 def member_references(relations: DataFrame) -> DataFrame:
-    """Distinct member references of current, visible relations, types in upper case; only N, W and R are types."""
-    ref = F.transform("members", lambda m: F.struct(F.upper(m["type"]).alias("t"), m["id"].alias("i")))
+    """Distinct member references of current, visible relations, types in upper case; only N, W and R are types.
+
+    Ids are made distinct by type: on plain numbers that takes a hash set, on structs every pair of them.
+    """
+
+    def ids(kind: str) -> Column:
+        some = F.filter("members", lambda m: F.upper(m["type"]) == kind)
+        return F.struct(F.lit(kind).alias("ref_type"), F.array_distinct(F.transform(some, lambda m: m["id"])).alias("ids"))
+
     return (
-        relations.select("id", "date", F.explode(F.array_distinct(ref)).alias("ref"))
-        .where(F.col("ref.t").isin("N", "W", "R"))
-        .select(
-            F.lit("relations").alias("src"), F.col("id").alias("src_id"), "date",
-            F.col("ref.t").alias("ref_type"), F.col("ref.i").alias("ref_id"),
-        )
+        relations.select("id", "date", F.inline(F.array(*(ids(k) for k in "NWR"))))
+        .select(F.lit("relations").alias("src"), F.col("id").alias("src_id"), "date", "ref_type", F.explode("ids").alias("ref_id"))
     )
 
 
