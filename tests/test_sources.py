@@ -65,7 +65,7 @@ CHANGE = b"""<osmChange><modify><node id="1" version="2" lat="0" lon="0"/></modi
 def test_xml(spark, tmp_path, end, pack):
     path = tmp_path / f"a.{end}"
     path.write_bytes(pack(XML))
-    got = {r.id: r for r in xmlmap.read(spark, [str(path)]).collect()} if False else {r.id: r for r in xmlmap.read(spark, [f"file://{path}"]).collect()}
+    got = {r.id: r for r in xmlmap.read(spark, [f"file://{path}"]).collect()}
     assert (got[1].x, got[1].y, got[1].tags, got[1].uid) == (1.5, -2.25, {"name": "a,b"}, 7)
     assert not got[3].visible and got[5].nodes == [1, 2] and got[6].members[0].type == "W"
 
@@ -153,6 +153,9 @@ def test_pipeline(spark, tmp_path):
     again.finalize(compact=True)
     again.views()
     assert spark.sql("SELECT count(*) FROM lines").collect()[0][0] == 2
+    assert again.exists()
+    again.drop()
+    assert not again.exists() and not again.store.has("lines") and again.status.get_sequence() is None
 
 
 def test_failed_batch_leaves_the_old_tables(spark, tmp_path):

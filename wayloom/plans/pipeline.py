@@ -95,6 +95,18 @@ class Pipeline:
         if name := self.get_option("database"):
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
+    def exists(self) -> bool:
+        """Whether the folder holds tables."""
+        return self.store.files.exists(self.store.state_file)
+
+    def drop(self) -> None:
+        """Removes the folder with all tables, and the database of the views, if one is named."""
+        if name := self.get_option("database"):
+            self.spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+        self.store.files.remove(self.store.folder)
+        self.store = SnapshotStore(self.spark, self.store.folder)
+        self.status = StatusManager() if self.get_option("status", True) else NoStatus()
+
     def construct(self) -> None:
         """Builds every table from its inputs; all become visible together."""
         for name, builder in self.tables.items():

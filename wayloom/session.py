@@ -40,3 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and goes on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that takes long per row: a plain scan of fewer partitions than the session has cores is dealt out to all.
+
+    Where the scan has partitions enough, and where rows have been shuffled before, nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
