@@ -129,7 +129,7 @@ def mark_terms(records: DataFrame, rare: int, common: float) -> DataFrame:
     mark rare: in at most ``rare`` records; common: in at least the share ``common`` of the records
     that have any; null: neither. A term that is both (in a tiny group) has a row for each.
     """
-    totals = records.where(F.size("sequences") > 0).groupBy("grp").agg(F.count(F.lit(1)).alias("total"))
+    totals = records.where(F.size("sequences") > 0).groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("total"))
     grams = count_grams(records, 2, anchored=True).where(F.size("gram") == 2)
     marks = F.array_compact(
         F.array(
@@ -137,4 +137,4 @@ def mark_terms(records: DataFrame, rare: int, common: float) -> DataFrame:
             F.when(F.col("records") >= F.lit(common) * F.col("total") - 1e-9, "common"),
         )
     )
-    return grams.join(totals, "grp").select("grp", "gram", "occurrences", "records", F.explode_outer(marks).alias("mark"))
+    return grams.join(totals, F.col("grp").eqNullSafe(F.col("of"))).select("grp", "gram", "occurrences", "records", F.explode_outer(marks).alias("mark"))
