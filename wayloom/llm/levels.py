@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.words import visible, words
+from wayloom.session import spread
 
 #: Words of a stretch, and least words of a document.
 STRETCH, LEAST = 40, 40
@@ -29,6 +30,7 @@ _BREAK = re.compile(r"</?(?:p|br|li|div|h[1-6]|tr|td)\b[^<>]{0,300}>", re.I)
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _ASIDE = re.compile(r"\([^()]{0,200}\)")
 _SENTENCE = re.compile(r"(?<=[^\W\d_]{2})[.!?]+(?=\s|$)|(?<=[^\W\d_.!?])[ \t]*\n+(?=\s*[^\W\d_a-z])|(?<=[^\W\d_])[ \t]*\n\n")
+_COMMA = re.compile(",")
 _OPENS = re.compile(r"[.!?:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _DERIVED = re.compile(r".{2,}(?:tions?|sions?|ity|ities|ments?|ances?|ences?|ously|ious|ous|ively|ive|ical|ional|ably|able|ible|ised|ated|ating|ism|ships?|ology)$")
@@ -82,7 +84,7 @@ def frequency_table(texts: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
 
-    rows = texts.select("text").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = spread(texts.select("text")).mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     table = np.zeros(BUCKETS, np.int64)
     for r in rows:
         table[r["bucket"]] = r["n"]
@@ -144,9 +146,10 @@ class Text:
 
     def __init__(self, text: str, lexicon: Lexicon):
         self.text = text = _ASIDE.sub(" ", plain(text)) if "(" in text else plain(text)
-        self.words = _WORD.findall(text)
-        spans = [m.span() for m in _WORD.finditer(text)]
-        self.begins, self.ends = (np.array([s[i] for s in spans], np.int64) for i in (0, 1))
+        found = list(_WORD.finditer(text))
+        self.words = [m.group() for m in found]
+        self.begins = np.array([m.start() for m in found], np.int64)
+        self.ends = np.array([m.end() for m in found], np.int64)
         self.ids, self.rows = lexicon.look([w.casefold() for w in self.words]) if self.words else (np.zeros(0, np.int64), np.zeros((0, len(_OWN)), np.float32))
 
     def features(self) -> np.ndarray:
@@ -160,7 +163,7 @@ class Text:
             return np.zeros((0, len(FEATURES)))
         many = max(1, round(n / STRETCH))
         cuts = np.round(np.arange(many + 1) * n / many).astype(np.int64)
-        total = lambda v: np.diff(np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, 0, np.float64)])[cuts], axis=0)
+        total = lambda v: np.add.reduceat(v, cuts[:-1], axis=0)
         capital = np.array([w[0].isupper() for w in self.words])
         odd = self.rows[:, _AT["odd"]] > 0
         if capital.mean() < 0.4:
@@ -176,7 +179,7 @@ class Text:
         usual_n = some[:, _AT["seen"]]
         base = np.where((usual_n > 0)[:, None], some, all_) / np.where(usual_n > 0, usual_n, size)[:, None]
         stops = np.array([m.start() for m in _SENTENCE.finditer(text)], np.int64)
-        commas = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord(","))
+        commas = np.array([m.start() for m in _COMMA.finditer(text)], np.int64)
         edges = np.concatenate([[0], self.ends[cuts[1:] - 1]])
         count = lambda at: np.diff(np.searchsorted(at, edges, "right"))
         share = lambda k: all_[:, _AT[k]] / size
@@ -253,7 +256,7 @@ def rate(documents: DataFrame, graded: DataFrame) -> DataFrame:
     """(doc_id, level) of each English document of at least LEAST words.
 
     graded: (text, level 1 to 4), of which at most SAMPLES rows are fitted, the first by hash. Word
-    frequencies are counted over all documents; texts are read whole, in one pass, without a shuffle.
+    frequencies are counted over all documents; texts are read whole, in one pass.
     Null and short texts, texts in other languages and rows with a null doc_id have no row; a repeated
     doc_id has one for each of its rows. Without graded rows of two levels there is no model and no row.
     """
@@ -274,4 +277,4 @@ def rate(documents: DataFrame, graded: DataFrame) -> DataFrame:
             keep = [v is not None for v in levels]
             yield pd.DataFrame({"doc_id": part["doc_id"][keep].astype("int64"), "level": [v for v in levels if v is not None]}).astype({"level": "int32"})
 
-    return documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, level int")
+    return spread(documents.where("doc_id IS NOT NULL").select("doc_id", "text")).mapInPandas(run, "doc_id bigint, level int")
