@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from wayloom.llm.words import words
+from wayloom.session import spread
 
 #: Successive words that make a case by themselves.
 RUN = 10
@@ -234,10 +235,10 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): each document that holds RUN successive words of an item, or, in a stretch of at
     most STRETCH times its length, SHARE of its words in its order.
 
-    One pass over whole texts, without a shuffle, for each block of items. Null and empty texts and items
+    One pass over whole texts for each block of items. Null and empty texts and items
     hold nothing. Rows of a repeated doc_id or item_id are looked at one by one; a pair is returned once.
     """
-    out = None
+    out, texts = None, spread(documents.where("doc_id IS NOT NULL").select("doc_id", "text"))
     for block in _blocks(items):
         def run(parts: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             matcher = Matcher(block)
@@ -248,7 +249,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                     found = matcher.search([words(x if isinstance(x, str) else None) for x in some])
                     yield pd.DataFrame({"doc_id": [own[d] for d, _ in found], "item_id": [i for _, i in found]}, dtype="int64")
 
-        one = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
+        one = texts.mapInPandas(run, "doc_id bigint, item_id bigint")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")

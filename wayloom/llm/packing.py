@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.words import words
-from wayloom.session import cut
+from wayloom.session import cut, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DIMENSIONS, BITS = 3, 10
@@ -111,7 +111,7 @@ def measured(documents: DataFrame, vocabulary: str) -> DataFrame:
                 sizes = [len(enc.encode_ordinary(t)) for t in texts]
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "tokens": sizes, "key": curve_keys(texts)})
 
-    return documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id bigint, tokens bigint, key bigint")
+    return spread(documents.where("doc_id IS NOT NULL").select("doc_id", "text")).mapInPandas(run, "doc_id bigint, tokens bigint, key bigint")
 
 
 class Shelf:
