@@ -99,6 +99,7 @@ class Matcher:
         self.n = np.array([len(w) for w in self.items] or [0])
         self.need = np.array([_need(n) for n in self.n.tolist()])
         self.stretch = np.array([math.floor(STRETCH * n) for n in self.n.tolist()])
+        self.least = np.array([math.ceil(SHARE * n - 1e-9) for n in self.n.tolist()])
         keys, vals, runs, of, single, sof = [], [], [], [], [], []
         for k, w in enumerate(self.items):
             w = np.array(w, np.int64)
@@ -138,30 +139,50 @@ class Matcher:
             v = ((v + u) | (v - u)) & full
         return full.bit_count() - v.bit_count()
 
-    def holds(self, k: int, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
-        """Whether some stretch that reaches from one of the places first to the one in last fulfils the second case.
+    def tries(self, t: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, begins: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
+        """(text, item, places, ends, tried): for each text and item, the places of words of the item and, by number,
+        where a stretch from each ends and which are to be tried.
 
-        Only those are tried that hold enough words of the item in whatever order.
+        Given are the pairs of places, sorted by text and item, between which hits are enough. A stretch
+        is tried if it holds such a pair, and enough words of the item in whatever order. All texts and
+        items of a batch are looked at together.
         """
-        n, length = int(self.n[k]), int(self.stretch[k])
-        least, full = math.ceil(SHARE * n - 1e-9), (1 << n) - 1
-        low = max(0, int(last[0]) - length + 1)
-        inside = np.flatnonzero(self.member[k, text[low : int(first[-1]) + length]]) + low
-        ends = np.searchsorted(inside, inside + length)
-        tries = np.flatnonzero(ends - np.arange(len(inside)) >= least)
-        if len(tries):  # a try begins at or before a place first, and reaches the place last that goes with it
-            at = np.minimum(np.searchsorted(first, inside[tries]), len(first) - 1)
-            tries = tries[(first[at] >= inside[tries]) & (last[at] < inside[tries] + length)]
-        if not len(tries):
-            return False
+        cuts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (item[1:] != item[:-1])])
+        closes = np.r_[cuts[1:], len(item)] - 1
+        self.tried = len(cuts)
+        k, d = item[cuts], docs[cuts]
+        length, least = self.stretch[k], self.least[k]
+        low = np.maximum(begins[d], last[cuts] - length + 1)
+        size = np.minimum(begins[d + 1], first[closes] + length) - low
+        group = np.repeat(np.arange(len(cuts)), size)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size) + low[group]
+        keep = self.member[k[group], t[place]]
+        group, place = group[keep], place[keep]
+        key = group * len(t) + place
+        end = np.searchsorted(key, group * len(t) + np.minimum(place + length[group], len(t) - 1))
+        ok = end - np.arange(len(key)) >= least[group]
+        pair = np.searchsorted(np.repeat(np.arange(len(cuts)), closes - cuts + 1) * len(t) + first, key[ok])
+        inner = pair <= closes[group[ok]]
+        pair = np.minimum(pair, len(first) - 1)
+        ok[ok] = inner & (last[pair] < place[ok] + length[group[ok]])
+        some = np.unique(group[ok])
+        for g, a, b in zip(some.tolist(), np.searchsorted(group, some).tolist(), np.searchsorted(group, some, "right").tolist()):
+            yield int(d[g]), int(k[g]), place[a:b], end[a:b] - a, np.flatnonzero(ok[a:b])
+
+    def holds(self, k: int, t: np.ndarray, places: np.ndarray, ends: np.ndarray, tried: np.ndarray) -> bool:
+        """Whether one of the stretches that are tried fulfils the second case."""
+        least, full, half = int(self.least[k]), (1 << int(self.n[k])) - 1, int(self.stretch[k]) // 2
         bit = self.bit[k]
-        marks = [bit[w] for w in text[inside].tolist()]
-        while len(tries):  # pieces of a stretch and a half: each try from their first half lies within one
-            i = int(tries[0])
-            near = tries[inside[tries] <= inside[i] + length // 2]
-            if self.common(marks[i : int(ends[near[-1]])], full) >= least and any(self.common(marks[j : int(ends[j])], full) >= least for j in near.tolist()):
+        marks = [bit[w] for w in t[places].tolist()]
+        at, stops, left = places.tolist(), ends.tolist(), tried.tolist()
+        i = 0
+        while i < len(left):  # a piece of a stretch and a half holds each stretch that begins in its first half
+            j = i
+            while j < len(left) and at[left[j]] <= at[left[i]] + half:
+                j += 1
+            if self.common(marks[left[i] : stops[left[j - 1]]], full) >= least and any(self.common(marks[x : stops[x]], full) >= least for x in left[i:j]):
                 return True
-            tries = tries[len(near) :]
+            i = j
         return False
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int]]:
@@ -208,11 +229,9 @@ class Matcher:
         docs = np.searchsorted(begins, first, "right") - 1
         order = np.lexsort((first, item, docs))
         item, first, last, docs = item[order], first[order], last[order], docs[order]
-        cuts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (item[1:] != item[:-1])]) if len(item) else np.zeros(0, np.int64)
-        self.tried = len(cuts)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
-            d, k = int(docs[a]), int(item[a])
-            if (d, k) not in found and self.holds(k, t[begins[d] : begins[d + 1]], first[a:b] - begins[d], last[a:b] - begins[d]):
+        self.tried = 0
+        for d, k, places, ends, tried in self.tries(t, item, first, last, begins, docs) if len(item) else ():
+            if (d, k) not in found and self.holds(k, t, places, ends, tried):
                 found.add((d, k))
         return [(d, self.ids[k]) for d, k in found]
 
