@@ -49,3 +49,8 @@ def rows(df, *columns):
 
 def codes(df):
     return sorted(f"{r.action}{r.id}" for r in df.collect())
+
+
+def fixed(df):
+    """The rows as they are now, without the plan that made them."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

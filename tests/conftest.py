@@ -11,4 +11,4 @@ os.environ["TZ"] = "UTC"
 def spark():
     from wayloom.session import local_session
 
-    return local_session(8, 4, "4g")
+    return local_session(8, 2, "4g")
