@@ -7,7 +7,7 @@ from tests.build import changes, grid, nodes, relations, rows, ways
 from wayloom.functions import geo, tags, tiles
 from wayloom.model import Source
 from wayloom.operators import relational as rel
-from wayloom.operators.route import route_lines, stitch
+from wayloom.operators.route import nested_route_lines, route_lines, stitch
 from wayloom.operators.tiling import apply_plan, plan_tiles, touched_tiles
 from wayloom.sources.snapshot import NoStatus, StatusManager
 
@@ -170,6 +170,15 @@ def test_routes(spark):
     assert nested[3] == [[9, 8], [2, 1, 0]]
 
 
+def test_routes_of_routes(spark):
+    w = line(spark, *([(i, 0), (i + 1, 0)] for i in range(6)))
+    spec = {1: "w0 r2 r2 r77", 2: "r3 r2", 3: "w1 w2", 4: "n1 r1 w3", 5: "r6 w4", 6: "w5 r7", 7: "r5 r6 w3", 8: "r5", 9: "n9 r99"}
+    got = {x.id: [[p.x for p in part] for part in x.lines] for x in nested_route_lines(relations(spark, spec), w).collect()}
+    assert got[2] == got[3] == [[1, 2, 3]] and got[1] == [[0, 1, 2, 3, 2, 1]] and 9 not in got
+    assert got[4][0][:4] == [0, 1, 2, 3] and set(got) == set(range(1, 9))
+    assert all({p for part in got[i] for p in part} == {3, 4, 5, 6} for i in (5, 6, 7, 8)) and got[8] == got[5]
+
+
 def test_selectors(spark):
     s = Source(grid(spark, 1, 2), changes(spark, "A1", "M2", "D3", "C4"))
     ids = lambda df: [r[0] for r in rows(df, "id")]

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.model import LINE
+from wayloom.operators.hierarchy import descend
+from wayloom.operators.relational import members
+from wayloom.session import cut
 
 Point = tuple[float, float]
 Parts = list[list[Point]]
@@ -103,3 +106,75 @@ def route_lines(relations: DataFrame, ways: DataFrame, routes: DataFrame | None
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], ["id", "lines"])
 
     return whole.mapInArrow(run, f"id bigint, lines array<{LINE.simpleString()}>").where(F.size("lines") > 0)
+
+
+def _links(relations: DataFrame) -> DataFrame:
+    """(parent, child): each link to another relation that is there, once."""
+    links = members(relations, "R").select(F.col("id").alias("parent"), F.col("member").alias("child")).where("parent != child").distinct()
+    return cut(links.join(relations.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"))
+
+
+def _circles(links: DataFrame) -> DataFrame:
+    """(root, member, depth): the relations that a relation shares a cycle with, at their least depth below it; itself at 1."""
+    core, size = links, links.count()
+    while size:  # what leads to no link, or is led to by none, is in no cycle
+        core = cut(
+            core.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+            .join(core.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+            .select("parent", "child")
+        )
+        size, before = core.count(), size
+        if size == before:
+            break
+    below = descend(core, None)
+    back = below.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    pairs = below.join(back, ["parent", "child"]).select(F.col("parent").alias("root"), F.col("child").alias("member"), "depth")
+    own = pairs.select("root", F.col("root").alias("member"), F.lit(1).alias("depth")).distinct()
+    return cut(pairs.unionByName(own))
+
+
+def _uncircled(relations: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, members) without cycles: a relation in a cycle has, for itself alone, copies of the others in it.
+
+    As in the hierarchy, a relation is met at its least depth below the root: within the cycle only
+    links from one depth to the next go on, so that all that can be reached is, and none leads back.
+    Copies have ids below all others.
+    """
+    relations, circles = relations.select("id", "members"), _circles(links)
+    if circles.isEmpty():
+        return relations
+    least = relations.agg(F.least(F.min("id"), F.min(F.array_min(F.transform("members", lambda m: m["id"]))))).first()[0]
+    number = F.lit(least) - F.row_number().over(Window.orderBy("root", "member"))
+    copies = circles.where("root != member").withColumn("copy", number)
+    copies = cut(copies.unionByName(circles.where("root = member").withColumn("copy", F.col("root"))))
+    refs = (
+        copies.join(relations.withColumnRenamed("id", "member"), "member")
+        .select("root", "depth", "copy", F.posexplode("members").alias("place", "m"))
+        .withColumn("to", F.when(F.upper("m.type") == "R", F.col("m.id")))
+    )
+    met = copies.select("root", F.col("member").alias("to"), F.col("depth").alias("at"), F.col("copy").alias("as"))
+    turned = refs.join(met, ["root", "to"], "left").where("at IS NULL OR at = depth + 1")
+    m = F.col("m").withField("id", F.coalesce("as", "m.id"))
+    fresh = turned.groupBy(F.col("copy").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", m.alias("m")))).alias("all"))
+    rest = relations.join(circles.select(F.col("root").alias("id")).distinct(), "id", "left_anti")
+    return rest.unionByName(fresh.select("id", F.transform("all", lambda x: x["m"]).alias("members")))
+
+
+def nested_route_lines(relations: DataFrame, ways: DataFrame) -> DataFrame:
+    """(id, lines): as route_lines, with the routes of member relations, at any depth.
+
+    Relations are folded from the bottom up: a round takes those whose member relations are all
+    done. For relations in cycles see _uncircled.
+    """
+    waiting = cut(_uncircled(relations, _links(relations)))
+    used = members(waiting, "W").select(F.col("member").alias("id")).distinct()
+    ways = cut(ways.select("id", "geom").join(used, "id", "left_semi"))
+    rest, routes = _links(waiting), None
+    while True:
+        above = rest.select(F.col("parent").alias("id")).distinct()
+        level = cut(route_lines(waiting.join(above, "id", "left_anti"), ways, routes))
+        routes = level if routes is None else routes.unionByName(level)
+        if rest.isEmpty():
+            return routes.join(relations.select("id"), "id", "left_semi")
+        waiting = cut(waiting.join(above, "id", "left_semi"))
+        rest = cut(rest.join(waiting.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"))

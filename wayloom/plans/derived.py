@@ -13,7 +13,7 @@ from wayloom.operators.groups import GroupedWayTable
 from wayloom.operators.hierarchy import RelationHierarchy
 from wayloom.operators.increment import latest_marks
 from wayloom.operators.orphans import parent_codes
-from wayloom.operators.route import route_lines
+from wayloom.operators.route import nested_route_lines
 from wayloom.operators.segments import SegmentsTable, intersections
 from wayloom.operators.tiling import plan_tiles
 from wayloom.operators.transformed import TransformedTable
@@ -172,7 +172,7 @@ def segments_lengths(spark, d):
 
 def route_geometry(spark, d):
     lines = _plain(spark, d).construct().select("id", "geom")
-    routes = route_lines(now(spark, d, "relations"), lines)
+    routes = nested_route_lines(now(spark, d, "relations"), lines)
     return routes.select("id", F.size("lines").alias("parts"), F.aggregate("lines", F.lit(0), lambda n, line: n + F.size(line)).alias("points"))
 
 
