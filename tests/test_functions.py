@@ -135,6 +135,27 @@ def test_tile_plan(spark):
     assert {r.id: r.pixbuf and bytes(r.pixbuf) for r in apply_plan(store, plan, rendered).collect()} == {0: b"new", 2: None}
 
 
+def test_tile_plan_of_a_batch(spark, tmp_path):
+    """Way 1 moves through a node alone, 2 is deleted, 3 stays, 4 is new; no other tile has lines afterwards."""
+    from wayloom.plans import derived
+
+    spots = {1: (-170, 80), 2: (-169.9, 80), 3: (-100, -70), 4: (-99.9, -70), 5: (10, 10), 6: (10.1, 10), 7: (100, 20), 8: (100.1, 20)}
+    n = [(i, None, float(x), float(y), True, 1, 1) for i, (x, y) in spots.items()]
+    n += [(1, None, 100.0, -60.0, True, 2, derived.BEFORE), (2, None, 100.1, -60.0, True, 2, derived.BEFORE)]
+    w = [(1, None, [1, 2], True, 1, 1), (2, None, [3, 4], True, 1, 1), (2, None, [3, 4], False, 2, derived.BEFORE), (3, None, [5, 6], True, 1, 1), (4, None, [7, 8], True, 1, derived.BEFORE)]
+    end = "visible boolean, version int, sequence int"
+    spark.createDataFrame(n, f"id bigint, tags map<string,string>, x double, y double, {end}").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame(w, f"id bigint, tags map<string,string>, nodes array<bigint>, {end}").write.parquet(f"{tmp_path}/ways.parquet")
+    got = {(r.zoom, r.x, r.y): r.task for r in derived.tile_plan(spark, str(tmp_path)).collect()}
+
+    def tile(x, y, zoom=8):
+        row = nodes(spark, (1, x, y)).select(tiles.tile_column(geo.mercator_x(F.col("x")), F.lit(zoom)).alias("x"), tiles.tile_row(geo.mercator_y(F.col("y")), F.lit(zoom)).alias("y")).first()
+        return zoom, row.x, row.y
+
+    assert got[tile(-170, 80)] == got[tile(-100, -70)] == got[tile(-170, 80, 3)] == "delete"
+    assert got[tile(100, -60)] == got[tile(100, 20)] == "reserve" and got[tile(100, -60, 5)] == got[0, 0, 0] == "render" and tile(10, 10) not in got
+
+
 def parts(text):
     return [[(0.0, float(p)) for p in part.split(",")] for part in text.split()]
 

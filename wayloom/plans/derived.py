@@ -210,11 +210,17 @@ def tile_numbers(spark, d):
 
 
 def tile_plan(spark, d):
-    table = _plain(spark, d)
-    table.mercator = True
-    lines = cut(table.construct().select("id", "geom"))
-    changed = lines.join(batch(spark, d, "ways"), "id", "left_semi")
-    return plan_tiles(lines, changed, 0, 8, 5)
+    """The tiles of all lines that the batch changed, through the way or through its nodes: where they were and where they are."""
+
+    def lines(before: int | None) -> DataFrame:
+        table = _plain(spark, d, before)
+        table.mercator = True
+        return cut(table.construct())
+
+    old, new = lines(BEFORE), lines(None)
+    change = cut(rel.difference(old, new))
+    both = old.unionByName(new).join(change, "id", "left_semi").select("geom").distinct()
+    return plan_tiles(new, both, 0, 8, 5)
 
 
 def node_ewkb(spark, d):
