@@ -57,6 +57,26 @@ def test_grams_across_partition_borders(spark):
     assert len(got) == 2001 and got[("k",)] == (4000, 2000) and got[("k", "0007")] == (2, 1)
 
 
+def test_grams_of_tags(spark, tmp_path):
+    from wayloom.llm import queries
+
+    tags = [{"Name": "old mill road east;Old Mill", "ref": "x"}, {"name": "mill road"}, {" NAME ": " ", "k": None}, None]
+    rows = [(i, t, True, 1, 1) for i, t in enumerate(tags)]
+    for table in ("nodes", "ways"):
+        spark.createDataFrame(rows[: 4 if table == "nodes" else 1], "id bigint, tags map<string,string>, visible boolean, version int, sequence int").write.parquet(f"{tmp_path}/{table}.parquet")
+    got = {(r.obj, r.gram): (r.occurrences, r.records) for r in queries.QUERIES["p4_grams"](spark, str(tmp_path)).collect()}
+    want = {}
+    for obj, records in (("node", [["name old mill road east", "name old mill", "ref x"], ["name mill road"]]), ("way", [["name old mill road east", "name old mill", "ref x"]])):
+        for n, sequences in enumerate(records):
+            for w in map(str.split, sequences):
+                for i in range(len(w)):
+                    for k in range(i + 1, min(i + 3, len(w)) + 1):
+                        seen = want.setdefault((obj, " ".join(w[i:k])), [0, set()])
+                        seen[0] += 1
+                        seen[1].add(n)
+    assert got == {k: (n, len(ids)) for k, (n, ids) in want.items()} and got["node", "mill road"] == (2, 2)
+
+
 def test_tag_terms_and_marks(spark):
     df = spark.createDataFrame(
         [(1, {" Highway": "Path; ;path ;TRACK", "x": None}), (2, {"highway ": "path"}), (3, {"highway": ""}), (4, None), (5, {"highway": "path"}), (6, {"name": "a;b"})],

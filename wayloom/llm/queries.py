@@ -29,6 +29,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_terms(spark, d).where("mark IS NOT NULL").select("obj", "tag_key", "term", "mark")
 
 
+def p4_grams(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of up to three words of keys and terms, from every truncated suffix; a term's words follow its key."""
+    words = lambda s: F.filter(F.split(F.array_join(s, " "), " "), lambda w: w != "")
+    records = _records(spark, d).withColumn("sequences", F.transform("sequences", words))
+    return terms.count_grams(records, 3).select(F.col("grp").alias("obj"), F.array_join("gram", " ").alias("gram"), "occurrences", "records")
+
+
 def p8_pack_512(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), 512)
 
@@ -64,7 +71,7 @@ marked AS (SELECT c.*, unnest(CASE WHEN records <= 2 AND records * 20 >= total T
   WHEN records * 20 >= total THEN ['common'] ELSE [NULL] END) AS mark FROM counts c JOIN totals USING (obj))"""
 
 QUERIES = {
-    "p4_found": p4_found, "p4_terms": p4_terms, "p8_pack_512": p8_pack_512, "p8_pack_2048": p8_pack_2048,
+    "p4_found": p4_found, "p4_terms": p4_terms, "p4_grams": p4_grams, "p8_pack_512": p8_pack_512, "p8_pack_2048": p8_pack_2048,
     "p9_found": p9_found, "p10_found": p10_found,
 }
 ORACLES = {
