@@ -332,3 +332,22 @@ def test_rows_of_entries(spark):
     assert got == {
         1: (1, None, [], []), 2: (None, None, [], ["n"]), 3: (None, 2.0, ["n"], []), 4: (None, None, [], []), 5: (None, None, [], []), 6: (None, None, [], []), 7: (None, None, [], ["n"]),
     }
+
+
+def test_relations_through_the_visitor(spark):
+    """Members as the plain explosion has them, tags as the maps hold them, one relation row a row."""
+    from wayloom.model import read
+    from wayloom.plans import pipelines
+
+    d = "/root/testdata/sf0.001"
+    got = pipelines.QUERIES["p2_relations"](spark, d).cache()
+    count = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
+    relations = read(spark, d, "relations")
+    kinds = {r.tag: r["count"] for r in got.groupBy("tag").count().collect()}
+    assert kinds["relation"] == relations.count() and set(kinds) == {"relation", "member", "tag"}
+    members = pipelines.p2_members(spark, d).selectExpr("id AS record_id", "sequence", "place", "coalesce(type, '') AS type", "coalesce(string(ref), '') AS ref", "role")
+    assert count(got.where("tag = 'member'"), *members.columns) == count(members, *members.columns)
+    tags = relations.selectExpr("id AS record_id", "sequence", "explode(tags) AS (name, value)")
+    assert count(got.where("tag = 'tag'"), *tags.columns) == count(tags, *tags.columns)
+    own = got.where("tag = 'relation'").selectExpr("record_id", "int(get_json_object(fields, '$.version')) AS version", "id")
+    assert count(own, *own.columns) == count(relations.selectExpr("id AS record_id", "version", "coalesce(string(id), '') AS id"), *own.columns)

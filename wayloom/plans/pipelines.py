@@ -49,6 +49,19 @@ def p2_members(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relation, member and tag rows of all relation rows, through the same visitor as the nested records.
+
+    fields holds the version. Columns that a row's tag does not have are null.
+    """
+    member = lambda m: F.when(m.isNotNull(), F.struct(m["type"].alias("type"), m["id"].alias("ref"), m["role"].alias("role")))
+    record = F.struct("id", "version", "tags", F.transform("members", member).alias("members"))
+    payload = F.to_json(record, {"ignoreNullFields": "false"})
+    emitted = nested.emit_tagged(read(spark, d, "relations").select(F.col("id").alias("record_id"), "sequence", payload.alias("payload")))
+    columns = F.from_json("payload", ", ".join(nested.SCHEMAS.values()))
+    return emitted.withColumn("payload", columns).select("record_id", "sequence", "tag", "key", "parent", "place", "payload.*")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = {k: read(spark, d, f"{k}_changeset") for k in ("node", "way", "relation")}
     return increment.pending_changes(feeds, read(spark, d, "status"))
@@ -164,7 +177,7 @@ UNION ALL
 SELECT obj, id, tag_key, 'conflict' FROM parsed GROUP BY obj, id, tag_key HAVING count(DISTINCT r) > 1"""
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found,
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide,
 }
 ORACLES = {
