@@ -351,3 +351,10 @@ def test_relations_through_the_visitor(spark):
     assert count(got.where("tag = 'tag'"), *tags.columns) == count(tags, *tags.columns)
     own = got.where("tag = 'relation'").selectExpr("record_id", "int(get_json_object(fields, '$.version')) AS version", "id")
     assert count(own, *own.columns) == count(relations.selectExpr("id AS record_id", "version", "coalesce(string(id), '') AS id"), *own.columns)
+
+
+def test_all_tag_types_count(spark, tmp_path):
+    from wayloom.plans import pipelines
+
+    spark.range(10_050).selectExpr("concat('k', id) AS tag_key", "'int' AS col_type").write.parquet(f"{tmp_path}/tag_types.parquet")
+    assert len(pipelines.tag_types(spark, str(tmp_path))) == 10_050
