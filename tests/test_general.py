@@ -358,3 +358,27 @@ def test_all_tag_types_count(spark, tmp_path):
 
     spark.range(10_050).selectExpr("concat('k', id) AS tag_key", "'int' AS col_type").write.parquet(f"{tmp_path}/tag_types.parquet")
     assert len(pipelines.tag_types(spark, str(tmp_path))) == 10_050
+
+
+def test_numbers_and_depths_without_bound(spark):
+    """Whole numbers longer than the library converts, and values deeper than it writes."""
+    import json
+
+    from wayloom.operators import nested, widen
+
+    big, deep = "7" * 5000, "[" * 100_000 + f'{{"a": [1, {"7" * 5000}], "b": "\\u00e4"}}' + "]" * 100_000
+    payload = f'{{"id": {big}, "version": 3, "x": {big}, "members": [{{"type": "way", "ref": -{big}, "role": "r"}}, {{"type": {big}, "ref": 5}}], "tags": [{{"k": {big}, "v": 1}}, {{"k": "n", "v": {big}}}, {{"k": "d", "v": {deep}}}]}}'
+    rows = [(tag, json.loads(json.dumps(load))) for tag, _, _, _, load in nested.visit(nested.parse_record(payload))]
+    assert [x for tag, x in rows if tag == "member"] == [{"type": "W", "ref": f"-{big}", "role": "r"}, {"type": "", "ref": "5", "role": None}]
+    assert [x for tag, x in rows if tag == "tag"] == [{"name": "n", "value": big}, {"name": "d", "value": deep.replace("\\u00e4", "\u00e4")}]
+    assert rows[0] == ("relation", {"id": big, "fields": f'{{"version": 3, "x": {big}}}'})
+    df = spark.createDataFrame([(1, payload)], "record_id long, payload string").selectExpr("record_id", "1 AS sequence", "payload")
+    names = {(r.kind, r.name) for r in nested.named_parts(nested.emit_tagged(df)).collect()}
+    assert names == {("member", f"W-{big}"), ("member", "5"), ("tag", "n"), ("tag", "d")}
+    for value in ({"a": [1, 2.5, None, True, {"b": "\u00e4\""}], "c": {}, "d": []}, [], "x"):
+        assert nested._written(value) == json.dumps(value, ensure_ascii=False)
+
+    cells = [{"n": "0" * 5000 + "7"}, {"n": big}, {"n": big, " N ": "+0" + big}, {"n": big, "N": "-" + big}, {"n": "-" + "0" * 5000, "N": "0"}]
+    wide = widen.widen(spark.createDataFrame(list(enumerate(cells)), "id long, tags map<string,string>"), ["id"], "tags", {"n": "int"})
+    got = {r.id: (r.n, r.bad, r.conflict, r.unfit) for r in wide.collect()}
+    assert got == {0: (7, [], [], []), 1: (None, [], [], ["n"]), 2: (None, [], [], ["n"]), 3: (None, [], ["n"], []), 4: (0, [], [], [])}

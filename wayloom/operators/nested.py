@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,23 @@ SCHEMAS = {
     TAG: "name string, value string",
 }
 _BATCH = 20_000
+#: Characters up to which whole numbers are converted; the library refuses more than 4,300 digits.
+_LONG = 4_000
 _SPACE = re.compile(r"[ \t\n\r]*")
 _ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
 
 
+@dataclass(frozen=True)
+class Digits:
+    """A whole number too long for the library to convert, as it stands in the payload."""
+
+    text: str
+
+
+def _whole(text: str) -> int | Digits:
+    return int(text) if len(text) <= _LONG else Digits(text)
+
+
 def _refuse(word: str) -> None:
     raise ValueError(word)
 
@@ -66,7 +80,7 @@ def _parse_deep(text: str):
                 m = _ATOM.match(text, at)
                 if not m:
                     raise ValueError(at)
-                value, at = json.loads(m.group()), m.end()
+                value, at = json.loads(m.group(), parse_int=_whole), m.end()
             have = True
         at = skip(at)
         if not stack:
@@ -94,7 +108,7 @@ def parse_record(payload: str | None) -> dict | None:
     if payload is None:
         return None
     try:
-        record = json.loads(payload, parse_constant=_refuse)
+        record = json.loads(payload, parse_constant=_refuse, parse_int=_whole)
     except RecursionError:
         try:
             record = _parse_deep(payload)
@@ -105,14 +119,38 @@ def parse_record(payload: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
+def _written(value) -> str:
+    """As json.dumps, for values of any depth and with Digits: an explicit stack of values and of texts that are ready."""
+    out, stack = [], [(value, None)]
+    while stack:
+        value, ready = stack.pop()
+        if ready is not None:
+            out.append(ready)
+        elif isinstance(value, Digits):
+            out.append(value.text)
+        elif isinstance(value, dict):
+            parts = [(None, "{")]
+            for n, (k, v) in enumerate(value.items()):
+                parts += [(None, f"{', ' if n else ''}{json.dumps(k, ensure_ascii=False)}: "), (v, None)]
+            stack.extend(reversed([*parts, (None, "}")]))
+        elif isinstance(value, list):
+            parts = [(None, "[")]
+            for n, v in enumerate(value):
+                parts += [(None, ", " if n else ""), (v, None)]
+            stack.extend(reversed([*parts, (None, "]")]))
+        else:
+            out.append(json.dumps(value, ensure_ascii=False))
+    return "".join(out)
+
+
 def _plain(value) -> str | None:
     """A scalar as text; boxes as JSON; null stays null."""
     if value is None or isinstance(value, str):
         return value
     try:
         return json.dumps(value, ensure_ascii=False)
-    except RecursionError:
-        return "..."
+    except (RecursionError, TypeError):
+        return _written(value)
 
 
 def _number(ref) -> str:
@@ -127,6 +165,8 @@ def _number(ref) -> str:
         return sign + digits if digits else "0"
     if isinstance(ref, float):
         return str(int(ref)) if ref.is_integer() else str(ref)
+    if isinstance(ref, Digits):
+        return ref.text
     return str(ref) if isinstance(ref, int) else ""
 
 

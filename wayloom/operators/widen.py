@@ -31,13 +31,18 @@ _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", re.ASCII)
 # Words read as true and as false
 _TRUE = ("yes", "true", "1")
 _FALSE = ("no", "false", "0")
+#: Digits up to which whole numbers are converted; the library refuses more than 4,300.
+_LONG = 4_000
 _EPOCH = datetime.date(1970, 1, 1)
 
 
 def read_value(kind: str, value: str):
-    """The value as its kind reads it; None if it does not read. Integers have no bound here."""
+    """The value as its kind reads it; None if it does not read. Integers have no bound here; those of more than _LONG digits are text without leading zeros."""
     if kind == "int":
-        return int(value) if _INT.fullmatch(value) else None
+        if not _INT.fullmatch(value):
+            return None
+        sign, digits = ("-" if value[0] == "-" else ""), value.lstrip("+-").lstrip("0")
+        return sign + digits if len(digits) > _LONG else int(sign + (digits or "0"))
     if kind == "double":
         return float(value) if _DOUBLE.fullmatch(value) else None
     if kind == "bool":
@@ -54,7 +59,7 @@ def read_value(kind: str, value: str):
 
 
 def _fits(kind: str, value) -> bool:
-    return not (kind == "int" and not -(2**63) <= value < 2**63)
+    return kind != "int" or isinstance(value, int) and -(2**63) <= value < 2**63
 
 
 class Cells:
