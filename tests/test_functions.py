@@ -246,3 +246,19 @@ def test_nudge_of_nothing(spark):
     df = spark.createDataFrame([([],), ([(None, 1.0), (2.0, 2.0)],)], "p array<struct<x:double,y:double>>")
     assert sorted(len(r.g) for r in df.select(geo.nudged(F.col("p")).alias("g")).collect()) == [0, 1]
     assert math.isclose(geo.NUDGE, 1e-8)
+
+
+def test_tag_links_of_all_objects(spark, tmp_path):
+    from wayloom.plans import derived
+
+    n = [(11, {"name": None, "wikipedia": "x y"}), (12, None), (15, {"name": "n", "website": None, "wikipedia:de": None}), (16, None), (17, {"url": "ftp://a/b"})]
+    columns = {"nodes": "x double, y double", "ways": "nodes array<bigint>", "relations": "members array<struct<id:bigint,role:string,type:string>>"}
+    for table, extra in columns.items():
+        fill = (None,) * (2 if table == "nodes" else 1)
+        spark.createDataFrame([(i, t, *fill, True, 1, 1) for i, t in (n if table == "nodes" else n[1:2])], f"id bigint, tags map<string,string>, {extra}, visible boolean, version int, sequence int").write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.createDataFrame([(1, "A"), (2, "B")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {(r.obj, r.id): (r.name, r.page, r.title, r.url) for r in derived.QUERIES["tag_links_all"](spark, str(tmp_path)).collect()}
+    whole = ("fr B", "https://de.wikipedia.org/wiki/B%20x%2Ay", "B x*y", "http://a.b/%27B")
+    assert len(got) == 7 and got["node", 12] == got["way", 12] == got["relation", 12] == whole
+    assert got["node", 11] == ("fr A", "https://en.wikipedia.org/wiki/x%20y", None, "http://a.b/%27A")
+    assert got["node", 15] == ("n", None, None, None) and got["node", 16] == got["node", 17] == (None,) * 4

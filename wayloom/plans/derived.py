@@ -185,22 +185,41 @@ def tag_functions(spark, d):
     )
 
 
-def tag_links(spark, d):
-    """Localised names and links of made-up tags, as the map data have none."""
-    made = read(spark, d, "region").select(
+def _made_tags(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "region").select(
         F.col("r_regionkey").cast("long").alias("id"),
         F.create_map(
             F.lit("name"), F.col("r_name"), F.lit("name:de"), F.concat(F.lit("de "), "r_name"), F.lit("name:fr"), F.concat(F.lit("fr "), "r_name"),
             F.lit("wikipedia"), F.concat(F.lit("de:"), "r_name", F.lit(" x*y")), F.lit("website"), F.concat(F.lit("http://a.b/'"), "r_name"),
         ).alias("tags"),
     )
+
+
+def _links_of(df: DataFrame, *key: str) -> DataFrame:
     t = F.col("tags")
-    return made.select(
-        "id", tags.localized(t, ["fr", "de"])["name"].alias("name"), tags.wikipedia_url(t).alias("page"),
+    return df.select(
+        *key, tags.localized(t, ["fr", "de"])["name"].alias("name"), tags.wikipedia_url(t).alias("page"),
         tags.wikipedia_pages(t)["de"].alias("title"), tags.url(t).alias("url"),
     )
 
 
+def tag_links(spark, d):
+    """Localised names and links of made-up tags, as the map data have none."""
+    return _links_of(_made_tags(spark, d), "id")
+
+
+def tag_links_all(spark, d):
+    """As tag_links, for all current nodes, ways and relations. Ids that end in the key of a region
+    have its made-up tags too, where they have none of the name; all others have their own tags alone."""
+    made = _made_tags(spark, d).select(F.col("id").alias("end"), F.col("tags").alias("made"))
+    own = lambda obj, table: now(spark, d, table).select(F.lit(obj).alias("obj"), "id", "tags")
+    every = own("node", "nodes").unionByName(own("way", "ways")).unionByName(own("relation", "relations"))
+    held = F.coalesce("tags", F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(held, F.map_filter("made", lambda k, v: ~F.map_contains_key(held, k)))
+    both = every.withColumn("end", F.pmod("id", F.lit(10))).join(made, "end", "left")
+    return _links_of(both.withColumn("tags", F.when(F.col("made").isNull(), F.col("tags")).otherwise(merged)), "obj", "id")
+
+
 def tile_numbers(spark, d):
     nodes = located(now(spark, d, "nodes"))
     z = F.lit(12)
@@ -315,7 +334,7 @@ QUERIES = {
     for f in (
         filtered_full, filtered_update, filtered_view_change, transformed, transformed_update, plain_way_geom, plain_way_update, plain_way_mercator,
         relation_ways, relation_ways_geom, relation_ways_update, hierarchy, hierarchy_closure, grouped_ways, segments_intersections, segments,
-        segments_lengths, route_geometry, tag_functions, tag_links, tile_numbers, tile_plan, node_ewkb, change_diff, apply_upsert,
+        segments_lengths, route_geometry, tag_functions, tag_links, tag_links_all, tile_numbers, tile_plan, node_ewkb, change_diff, apply_upsert,
         status_min_sequence, feed_actions, parents_seen,
     )
 }
