@@ -288,3 +288,9 @@ def test_levels_of_odd_texts(spark):
     assert set(got) >= {3, 4, 5} and not {0, 1, 2, 6} & set(got) and set(got.values()) <= {1, 2}
     assert levels.rate(d.limit(0), graded).count() == 0
     assert levels.rate(d, graded.limit(0)).count() == 0 and levels.rate(d, graded.where("level = 1")).count() == 0
+
+
+def test_levels_of_words_in_brackets(spark):
+    graded = spark.createDataFrame([("The dog was big. " * 20, 1), ("Notwithstanding the aforementioned considerations, the administration recommended, " * 8, 2)], "text string, level int")
+    got = {r.doc_id: r.level for r in levels.rate(docs(spark, "(The dog was here.) " * 20, "The dog was here. " * 20), graded).collect()}
+    assert set(got) == {0, 1} and got[0] == got[1]

@@ -28,7 +28,6 @@ BUCKETS = 1 << 17
 SAMPLES = 20_000
 _BREAK = re.compile(r"</?(?:p|br|li|div|h[1-6]|tr|td)\b[^<>]{0,300}>", re.I)
 _TAG = re.compile(r"<[^<>]{0,300}>")
-_ASIDE = re.compile(r"\([^()]{0,200}\)")
 _SENTENCE = re.compile(r"(?<=[^\W\d_]{2})[.!?]+(?=\s|$)|(?<=[^\W\d_.!?])[ \t]*\n+(?=\s*[^\W\d_a-z])|(?<=[^\W\d_])[ \t]*\n\n")
 _COMMA = re.compile(",")
 _OPENS = re.compile(r"[.!?:\n]")
@@ -142,10 +141,10 @@ def is_english(rows: np.ndarray) -> bool:
 
 
 class Text:
-    """A text's words, where they are, and what is known of them. Asides in brackets are left out."""
+    """A text's words, where they are, and what is known of them."""
 
     def __init__(self, text: str, lexicon: Lexicon):
-        self.text = text = _ASIDE.sub(" ", plain(text)) if "(" in text else plain(text)
+        self.text = text = plain(text)
         found = list(_WORD.finditer(text))
         self.words = [m.group() for m in found]
         self.begins = np.array([m.start() for m in found], np.int64)
