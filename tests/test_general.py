@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.build import rows
 from wayloom.model import current_rows, current_values
 from wayloom.operators import forest, increment, nested, orphans, proximity, widen
+from wayloom.session import fresh_folder
 
 DAY = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -219,17 +220,82 @@ def test_pending_changes_against_brute_force(spark, parts):
                 )
                 if not handled:
                     want.add((part, feed, *change))
-    got = increment.pending_changes({f: spark.createDataFrame(r, FEED) for f, r in feeds.items()}, spark.createDataFrame(status, STATUS))
+    got = increment.pending_changes({f: spark.createDataFrame(r, FEED) for f, r in feeds.items()}, spark.createDataFrame(status, STATUS), fresh_folder(spark, "p5"))
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want
 
 
 def test_pending_changes_of_empty_tables(spark):
     feed, status = spark.createDataFrame([(1, 1, 1, DAY, "", "", 0)], FEED), spark.createDataFrame([("a", DAY, 1, "ok", 0)], STATUS)
-    assert increment.pending_changes({"node": feed}, status.limit(0)).count() == 0
-    assert increment.pending_changes({"node": feed.limit(0)}, status).count() == 0
-    assert increment.pending_changes({"node": feed}, status).count() == 0
-    assert rows(increment.pending_changes({"node": feed}, spark.createDataFrame([("a", DAY, None, "ok", 0)], STATUS)), "part", "id") == [("a", 1)]
+    pending = lambda f, s: increment.pending_changes({"node": f}, s, fresh_folder(spark, "p5"))
+    assert pending(feed, status.limit(0)).count() == 0
+    assert pending(feed.limit(0), status).count() == 0
+    assert pending(feed, status).count() == 0
+    assert rows(pending(feed, spark.createDataFrame([("a", DAY, None, "ok", 0)], STATUS)), "part", "id") == [("a", 1)]
+
+
+def feed_state(spark):
+    """Part a has handled sequence 1, part b nothing."""
+    status = spark.createDataFrame([("a", day(1), 1, "ok", 0), ("b", None, None, "failed", 0)], STATUS)
+    feed = lambda *r: {"node": spark.createDataFrame([(i, 1, s, day(s), "", "", 0) for i, s in r], FEED)}
+    inc = increment.FeedIncrement(spark, fresh_folder(spark, "p5"))
+    inc.adopt(feed((1, 1), (2, 1)), status)
+    return inc, feed
+
+
+def brought(inc, batch):
+    return rows(inc.delivered(batch), "part", "id")
+
+
+def test_runs_bring_each_change_once(spark):
+    inc, feed = feed_state(spark)
+    assert brought(inc, inc.run(feed((1, 1), (2, 1)))) == [("b", 1), ("b", 2)]
+    assert inc.run(feed((1, 1), (2, 1))) is None
+    # unit 1 gets a late row, and its row 2 is delivered again in a new unit
+    later = feed((1, 1), (2, 1), (9, 1), (2, 2), (3, 2), (3, 2))
+    assert brought(inc, inc.run(later)) == [("a", 3), ("a", 9), ("b", 3), ("b", 9)]
+    assert inc.run(later) is None
+
+
+def test_the_manifest_decides_what_is_read(spark):
+    inc, feed = feed_state(spark)
+    now = feed((1, 1), (2, 1), (3, 2))
+    unit = inc.listing(now).where("sequence = 2").select(F.lit(0).alias("part"), "feed", "sequence", "size", "checksum")
+    inc.log.write("manifest", unit)
+    inc.log.commit()
+    assert brought(inc, inc.run(now)) == [("b", 1), ("b", 2), ("b", 3)]
+
+
+@pytest.mark.parametrize("step", ["manifest", "output", "commit"])
+def test_a_run_that_fails_neither_skips_nor_repeats(spark, monkeypatch, step):
+    inc, feed = feed_state(spark)
+    now, write, commit = feed((1, 1), (2, 1), (3, 2)), inc.log.write, inc.log.commit
+
+    def failing(kind, df):
+        write(kind, df)
+        if kind == step:
+            raise RuntimeError(step)
+
+    def stop():
+        raise RuntimeError(step)
+
+    monkeypatch.setattr(inc.log, "write", failing)
+    monkeypatch.setattr(inc.log, "commit", stop if step == "commit" else commit)
+    with pytest.raises(RuntimeError):
+        inc.run(now)
+    monkeypatch.setattr(inc.log, "write", write)
+    monkeypatch.setattr(inc.log, "commit", commit)
+    again = increment.FeedIncrement(spark, inc.log.folder)
+    more = feed((1, 1), (2, 1), (3, 2), (4, 3))
+    assert brought(again, again.run(more)) == [("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 3), ("b", 4)]
+    assert again.run(more) is None
+
+
+def test_many_parts(spark):
+    status = spark.createDataFrame([(f"p{k:03d}", day(1), k % 3, "ok", 0) for k in range(130)], STATUS)
+    feed = {"node": spark.createDataFrame([(1, 1, 1, day(1), "", "", 0), (2, 1, 2, day(1), "", "", 0)], FEED)}
+    got = increment.pending_changes(feed, status, fresh_folder(spark, "p5"))
+    assert rows(got, "part", "id") == sorted((f"p{k:03d}", i) for k in range(130) for i in (1, 2) if k % 3 < i)
 
 
 # 6: hierarchies

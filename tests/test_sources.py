@@ -189,24 +189,61 @@ def test_diffs_are_applied_in_order_and_once(spark, tmp_path):
     assert replication.catch_up(p, str(diffs)) == []
 
 
+def increments(spark, tmp_path, page=100):
+    folder = tmp_path / "in +1%"
+    folder.mkdir(exist_ok=True)
+    run = IncrementalFolder(spark, f"file://{folder}", f"file://{tmp_path}/state", page)
+    process = lambda paths: spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    return folder, run, process, lambda: sorted(r.value for r in run.committed("value string").collect())
+
+
 def test_new_and_changed_files_are_processed_once(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    run = IncrementalFolder(spark, f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/state")
-    read = lambda paths: spark.read.text(paths)
-    assert run.run(read) is None
-    (folder / "a.txt").write_text("1\n2\n")
-    first = run.run(read)
-    assert first and run.run(read) is None
+    folder, run, process, values = increments(spark, tmp_path)
+    assert run.run(process) == [] and values() == []
+    (folder / "a b.txt").write_text("1\n2\n")
+    assert run.run(process) == [0] and run.run(process) == []
     (folder / "b.txt").write_text("3\n")
 
     def fails(paths):
-        return spark.read.text(paths).select(F.raise_error(F.lit("stop")).cast("string").alias("value"))
+        return process(paths).withColumn("value", F.raise_error(F.lit("stop")).cast("string"))
 
     with pytest.raises(Exception):
         run.run(fails)
-    assert sorted(r.value for r in run.committed().collect()) == ["1", "2"]
-    second = run.run(read)
-    assert second != first and sorted(r.value for r in run.committed().collect()) == ["1", "2", "3"]
-    (folder / "a.txt").write_text("9\n9\n")
-    assert [os.path.basename(r.path) for r in run.pending().collect()] == ["a.txt"]
+    assert values() == ["1", "2"]
+    assert run.run(process) == [1] and values() == ["1", "2", "3"]
+    (folder / "a b.txt").write_text("9\n9\n")
+    assert [os.path.basename(r.path) for r in run.pending().collect()] == ["a b.txt"]
+    assert run.run(process) == [2] and values() == ["3", "9", "9"]
+    (folder / "a b.txt").write_text("1\n2\n")  # as it was at first
+    assert run.run(process) == [3] and values() == ["1", "2", "3"]
+    assert run.run(process) == []
+
+
+@pytest.mark.parametrize("step", ["output", "manifest", "commit"])
+def test_a_failed_run_over_files_is_repeated(spark, tmp_path, monkeypatch, step):
+    folder, run, process, values = increments(spark, tmp_path)
+    (folder / "a.txt").write_text("1\n")
+    write, commit = run.log.write, run.log.commit
+
+    def failing(kind, df):
+        write(kind, df)
+        if kind == step:
+            raise RuntimeError(step)
+
+    def stop():
+        raise RuntimeError(step)
+
+    monkeypatch.setattr(run.log, "write", failing)
+    monkeypatch.setattr(run.log, "commit", stop if step == "commit" else commit)
+    with pytest.raises(RuntimeError):
+        run.run(process)
+    monkeypatch.undo()
+    (folder / "b.txt").write_text("2\n")
+    assert values() == [] and run.run(process) == [0] and values() == ["1", "2"]
+
+
+def test_many_files_make_several_batches(spark, tmp_path):
+    folder, run, process, values = increments(spark, tmp_path, 2)
+    for i in range(5):
+        (folder / f"{i}.txt").write_text(f"{i}\n")
+    assert run.run(process) == [0, 1, 2] and values() == list("01234") and run.run(process) == []

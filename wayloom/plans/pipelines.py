@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayloom.model import current_rows, current_values, read
 from wayloom.operators import forest, increment, nested, orphans, proximity, widen
+from wayloom.session import fresh_folder
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +65,7 @@ def p2_relations(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     feeds = {k: read(spark, d, f"{k}_changeset") for k in ("node", "way", "relation")}
-    return increment.pending_changes(feeds, read(spark, d, "status"))
+    return increment.pending_changes(feeds, read(spark, d, "status"), fresh_folder(spark, "increments"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:

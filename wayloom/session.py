@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir. Where the
-    session has none, as in tests on one machine, a folder of this process."""
+    session has none and runs on one machine, as in tests, a folder of this process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"wayloom-{os.getpid()}")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def fresh_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder within the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and goes on from there."""
     shared_folder(df.sparkSession)
