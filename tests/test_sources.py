@@ -14,7 +14,7 @@ from wayloom.operators.filtered import FilteredTable
 from wayloom.operators.increment import IncrementalFolder
 from wayloom.operators.ways import PlainWayTable
 from wayloom.plans.pipeline import Pipeline
-from wayloom.sources import opl, pbf, xmlmap
+from wayloom.sources import files, opl, pbf, snapshot, xmlmap
 from wayloom.streaming import replication
 
 LINES = [
@@ -174,6 +174,56 @@ def test_failed_batch_leaves_the_old_tables(spark, tmp_path):
     assert fresh.status.get_sequence() == 1 and rows(fresh.source("named").data, "id") == [(1,)]
 
 
+def test_a_failed_batch_is_repeated_by_the_same_object(spark, tmp_path):
+    p, fail = pipeline(spark, tmp_path), [True]
+    p.load({"node": grid(spark, 1, 2, 3)}, 1)
+    p.construct()
+
+    class Fails(FilteredTable):
+        def update(self, old):
+            if fail[0]:
+                raise RuntimeError("stop")
+            return super().update(old)
+
+    p.add_table("shaky", lambda p: Fails(p.source("way"), "true"))
+    p.store.stage("shaky", Source(p.source("way").data))
+    p.store.commit()
+    batch = lambda i: {"way": ways(spark, {i: ([1, 2], {"name": "a"})}).withColumn("action", F.lit("C"))}
+    with pytest.raises(RuntimeError):
+        p.apply(batch(1), 2)
+    assert p.status.get_sequence() == 1 and not p.store.staged
+    fail[0] = False
+    assert p.apply(batch(1), 2) and p.apply(batch(2), 3)
+    for q in (p, pipeline(spark, tmp_path)):
+        assert q.status.get_sequence() == 3 and rows(q.source("named").data, "id") == [(1,), (2,)] and rows(q.source("way").data, "id") == [(1,), (2,)]
+
+
+def test_batches_write_what_they_change(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "LAYERS", 2)
+    p = pipeline(spark, tmp_path)
+    p.load({"node": grid(spark, 1, 2, 3), "way": ways(spark, {i: ([1, 2], {"name": "a"}) for i in range(1, 6)})}, 0)
+    p.construct()
+    base = p.store.state["tables"]["way"]["base"]
+    want = {i: (1, 2) for i in range(1, 6)}
+    for n, (change, gone) in enumerate([({1: [1, 3]}, False), ({1: [2, 3], 7: [1, 3]}, False), ({2: [1, 2]}, True), ({2: [3, 2]}, False)], 1):
+        rows_ = ways(spark, {i: (v, {"name": "a"}) for i, v in change.items()})
+        assert p.apply({"way": rows_.withColumn("action", F.lit("D" if gone else "M"))}, n)
+        for i, v in change.items():
+            want.pop(i, None)
+            if not gone:
+                want[i] = tuple(v)
+        entry = p.store.state["tables"]["way"]
+        assert (entry["base"] == base) == (n < 3) and len(entry["layers"]) == (n if n < 3 else n - 3)
+        assert p.store.state["tables"]["node"]["base"] == 1
+        for table in ("way", "named", "lines"):
+            assert dict(rows(p.source(table).data, "id", "nodes")) == want, (n, table)
+    p.finalize()
+    assert not any(p.store.state["tables"][t]["layers"] for t in ("named", "lines"))
+    assert dict(rows(spark.table("default.lines"), "id", "nodes")) == want
+    spark.sql("DROP TABLE default.named")
+    spark.sql("DROP TABLE default.lines")
+
+
 def test_diffs_are_applied_in_order_and_once(spark, tmp_path):
     p = pipeline(spark, tmp_path / "db")
     p.load({"node": grid(spark, 1, 2, 3)}, 0)
@@ -189,6 +239,45 @@ def test_diffs_are_applied_in_order_and_once(spark, tmp_path):
     assert replication.catch_up(p, str(diffs)) == []
 
 
+def test_nested_packed_diffs_with_states_and_places(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "db"), locations=True)
+    p.add_table("lines", lambda p: PlainWayTable(p.source("way"), p.source("location")))
+    found = opl.parse(lines(spark, ["n1 v1 dV T x1 y1", "n2 v1 dV Tname=a x2 y2", "n3 v1 dV T x3 y3", "w5 v1 dV Tname=a Nn1,n2", "w6 v1 dV T Nn1,n3"]))
+    p.load(opl.base_tables(found, False) | {"location": opl.locations(found)}, 4600122)
+    p.construct()
+    at = tmp_path / "diffs" / "004" / "600"
+    at.mkdir(parents=True)
+    change = b'<osmChange><modify><node id="1" version="2" lat="9" lon="8"/></modify><delete><node id="3" version="2"/></delete></osmChange>'
+    (at / "123.osc.gz").write_bytes(gzip.compress(change))
+    (at / "123.state.txt").write_text("#x\nsequenceNumber=4600123\ntimestamp=2024-01-02T03\\:04\\:05Z\n")
+    (at / "125.opl").write_text("w7 v1 dV T Nn1,n2\n")
+    diffs = f"file://{tmp_path}/diffs"
+    assert replication.catch_up(p, diffs, keep_empty_nodes=False) == [4600123]  # 124 is missing
+    assert p.status.get_date().isoformat() == "2024-01-02T03:04:05+00:00"
+    assert rows(p.source("node").data, "id") == [(2,)] and rows(p.source("location").data, "id", "x") == [(1, 8.0), (2, 2.0)]
+    assert [(r.id, [(q.x, q.y) for q in r.geom]) for r in p.source("lines").data.collect()] == [(5, [(8.0, 9.0), (2.0, 2.0)])]
+    (at / "124.osc.bz2").write_bytes(bz2.compress(b"<osmChange/>"))
+    assert replication.catch_up(p, diffs, None, False) == [4600124, 4600125]
+    assert rows(p.source("lines").data, "id") == [(5,), (7,)]
+
+
+def test_sequences_of_names(spark):
+    names = ["file:/a/004/600/123.osc.gz", "/x/12.opl", "diff-0017.osc", "/a/000/000/001.osm.bz2", "/2024/b.osc", "/004/12/7.osc"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    assert [r[0] for r in df.select(files.sequence_of(F.col("path"))).collect()] == [4600123, 12, 17, 1, None, 7]
+
+
+def test_blobs_of_other_compressions():
+    zstandard = pytest.importorskip("zstandard")
+    import lzma
+
+    data = b"abc" * 100
+    for number, packed in ((1, data), (3, zlib.compress(data)), (4, lzma.compress(data)), (7, zstandard.compress(data))):
+        assert bytes(pbf.inflate(num(2, len(data)) + msg(number, packed))) == data
+    with pytest.raises(ValueError):
+        pbf.inflate(msg(6, data))
+
+
 def increments(spark, tmp_path, page=100):
     folder = tmp_path / "in +1%"
     folder.mkdir(exist_ok=True)

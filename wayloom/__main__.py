@@ -8,20 +8,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from wayloom.plans.pipeline import Pipeline
-from wayloom.sources import opl, pbf, xmlmap
+from wayloom.sources import opl
+from wayloom.sources.files import objects, state_date
 from wayloom.streaming.replication import catch_up
 
 
-def objects(spark: SparkSession, path: str):
-    """Objects of a file, by its name."""
-    if path.endswith(".pbf"):
-        return pbf.read(spark, [path])
-    if ".osm" in path or ".osc" in path or ".xml" in path:
-        if not path.endswith((".opl", ".opl.gz")):
-            return xmlmap.read(spark, [path])
-    return opl.read(spark, path)
-
-
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="wayloom", description=__doc__)
     p.add_argument("folder", help="folder of the tables")
@@ -34,18 +25,21 @@ def main(args: list[str]) -> int:
     p.add_argument("-t", "--tagged-nodes", action="store_true", help="only nodes with tags become rows; places of all go to the table location")
     o = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    pipeline = Pipeline(spark, o.folder)
+    pipeline = Pipeline(spark, o.folder, **({"locations": True} if o.tagged_nodes else {}))
     if o.full:
         found = objects(spark, o.full)
-        pipeline.load(opl.base_tables(found, not o.tagged_nodes), o.sequence)
-        if o.tagged_nodes:
-            opl.locations(found).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{o.folder}/location")
+        places = {"location": opl.locations(found).repartitionByRange("id").sortWithinPartitions("id")} if o.tagged_nodes else {}
+        pipeline.load(opl.base_tables(found, not o.tagged_nodes) | places, o.sequence)
     elif o.change:
-        pipeline.apply(opl.batches(objects(spark, o.change), not o.tagged_nodes), o.sequence)
+        pipeline.apply(opl.batches(objects(spark, o.change), not o.tagged_nodes), o.sequence, state_date(spark, o.change))
     else:
         print("applied:", *catch_up(pipeline, o.replicate, o.max_kb, not o.tagged_nodes))
     return 0
 
 
+def run() -> int:
+    return main(sys.argv[1:])
+
+
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    sys.exit(run())

@@ -20,6 +20,7 @@ NODES = T.StructType().add("id", T.LongType()).add("tags", TAGS).add("x", T.Doub
 WAYS = T.StructType().add("id", T.LongType()).add("tags", TAGS).add("nodes", T.ArrayType(T.LongType()))
 RELATIONS = T.StructType().add("id", T.LongType()).add("tags", TAGS).add("members", T.ArrayType(MEMBER))
 CHANGES = T.StructType().add("id", T.LongType()).add("action", T.StringType())
+LOCATIONS = T.StructType().add("id", T.LongType()).add("x", T.DoubleType()).add("y", T.DoubleType())
 STATUS = T.StructType().add("part", T.StringType()).add("date", T.TimestampType()).add("sequence", T.IntegerType())
 
 #: Actions: feeds say CREATE, derived tables say ADD; both say MODIFY and DELETE.
@@ -28,10 +29,14 @@ CREATE, ADD, MODIFY, DELETE = "C", "A", "M", "D"
 
 @dataclass(frozen=True)
 class Source:
-    """A table with an ``id`` column and, where known, the changes of its last batch."""
+    """A table with an ``id`` column and, where known, the changes of its last batch.
+
+    rows, where given: data is the table before the batch without the ids in change, and these.
+    """
 
     data: DataFrame
     change: DataFrame | None = None
+    rows: DataFrame | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

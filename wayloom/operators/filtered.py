@@ -41,7 +41,8 @@ class FilteredTable:
         fresh = self.source.data.join(affected, "id", "left_semi").where(self._holds())
         gone = old.select("id").join(affected, "id", "left_semi").join(fresh.select("id"), "id", "left_anti")
         change = fresh.select("id", F.lit(MODIFY).alias("action")).unionByName(gone.select("id", F.lit(DELETE).alias("action")))
-        return Source(old.join(affected, "id", "left_anti").unionByName(fresh.select(*old.columns)), change)
+        fresh = fresh.select(*old.columns)
+        return Source(old.join(affected, "id", "left_anti").unionByName(fresh), change, fresh)
 
     def _view_changes(self) -> DataFrame | None:
         if self.source.change is None:

@@ -83,4 +83,5 @@ class GroupedWayTable:
             .withColumn("action", F.when(F.col("was").isNull(), ADD).when(F.col("is").isNull(), DELETE).when(F.col("was") != F.col("is"), MODIFY))
             .where("action IS NOT NULL").select("id", "action")
         )
-        return Source(old.join(dirty, "id", "left_anti").unionByName(named.select("id", "child")), change)
+        put = named.select("id", "child").join(change.where(F.col("action") != DELETE), "id", "left_semi")
+        return Source(old.join(dirty, "id", "left_anti").unionByName(named.select("id", "child")), change, put)

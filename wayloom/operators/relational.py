@@ -89,7 +89,8 @@ def refreshed(old: DataFrame, fresh: DataFrame, affected: DataFrame, columns: Se
     change = difference(before, fresh, columns)
     touched = change.select("id")
     put = fresh.join(change.where(F.col("action") != DELETE).select("id"), "id", "left_semi")
-    return Source(old.join(touched, "id", "left_anti").unionByName(put.select(*old.columns)), change)
+    put = put.select(*old.columns)
+    return Source(old.join(touched, "id", "left_anti").unionByName(put), change, put)
 
 
 def holding(df: DataFrame, array: str, ids: DataFrame) -> DataFrame:

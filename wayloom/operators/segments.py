@@ -194,4 +194,5 @@ class SegmentsTable:
         fresh = cut(segments(part, self.columns, self._locations(), around))
         before = gone.join(fresh.select("id"), "id", "left_anti").select("id", F.lit(DELETE).alias("action"))
         after = fresh.select("id").join(old.select("id"), "id", "left_anti").select("id", F.lit(ADD).alias("action"))
-        return Source(old.join(gone, "id", "left_anti").unionByName(fresh.select(*old.columns)), before.unionByName(after))
+        fresh = fresh.select(*old.columns)
+        return Source(old.join(gone, "id", "left_anti").unionByName(fresh), before.unionByName(after), fresh.join(after, "id", "left_semi"))

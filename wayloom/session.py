@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +26,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for sessions whose executors do not have it installed."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "wayloom"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(packed)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir. Where the
     session has none and runs on one machine, as in tests, a folder of this process."""

@@ -86,7 +86,7 @@ def locations(objects: DataFrame) -> DataFrame:
 def batches(objects: DataFrame, keep_empty_nodes: bool = True) -> dict[str, DataFrame]:
     """The batch of a change file by base table: the object's columns and action; of several versions of an id the last.
 
-    Without keep_empty_nodes a node without tags is a deletion.
+    Without keep_empty_nodes a node without tags is a deletion. location has the places of all nodes; one without a place is a deletion.
     """
     last = (
         objects.withColumn("action", action())
@@ -95,7 +95,9 @@ def batches(objects: DataFrame, keep_empty_nodes: bool = True) -> dict[str, Data
         .select("kind", "id", "o.*")
     )
     gone = F.col("action") if keep_empty_nodes else F.when(F.size("tags") == 0, DELETE).otherwise(F.col("action"))
+    placed = F.when(F.col("x").isNull() | F.col("y").isNull(), DELETE).otherwise(F.col("action"))
     return {
+        "location": last.where("kind = 'N'").select("id", "x", "y", placed.alias("action")),
         "node": last.where("kind = 'N'").select("id", "tags", "x", "y", gone.alias("action")),
         "way": last.where("kind = 'W'").select("id", "tags", "nodes", "action"),
         "relation": last.where("kind = 'R'").select("id", "tags", "members", "action"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import lzma
 import struct
 import zlib
 from collections.abc import Iterator
@@ -69,14 +70,20 @@ def _zigzag(n: int) -> int:
 
 
 def inflate(blob: bytes) -> memoryview:
-    """The contents of a blob: raw, or compressed with zlib."""
+    """The contents of a blob: raw, or compressed with zlib, lzma or zstd (with the library for it)."""
     for number, value in fields(memoryview(blob)):
         if number == 1:
             return value
         if number == 3:
             return memoryview(zlib.decompress(value))
-        if number in (4, 5, 6, 7):
-            raise ValueError("blob compression other than zlib")
+        if number == 4:
+            return memoryview(lzma.decompress(value))
+        if number == 7:
+            import zstandard
+
+            return memoryview(zstandard.ZstdDecompressor().decompressobj().decompress(bytes(value)))
+        if number in (5, 6):
+            raise ValueError("blob compression other than zlib, lzma and zstd")
     return memoryview(b"")
 
 

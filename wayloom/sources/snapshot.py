@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayloom.model import Source
 
@@ -52,8 +54,18 @@ class Files:
         fs.delete(p, True)
 
 
+#: Batches whose rows are kept beside a table before it is written anew.
+LAYERS = 8
+#: Commits for which files that no longer count are kept, for readers that began before.
+KEEP = 2
+
+
 class SnapshotStore:
-    """Tables as <folder>/<table>/<version>/{data,change}. What state.json names counts, all else may be left over.
+    """Tables in a folder. What state.json names counts, all else may be left over.
+
+    A table is a full version (<table>/<version>/data) and up to LAYERS later ones that hold a batch's
+    new rows and changed ids only (rows, change): a row counts if no later layer changed its id. So a
+    batch writes what it changes, and a table without changes is not written at all.
 
     Versions written in a batch become visible together, with the statuses, when commit replaces
     state.json; until then readers see the old ones, and a failed batch leaves nothing behind that counts.
@@ -62,22 +74,49 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
         self.state_file = f"{self.folder}/state.json"
-        self.state = json.loads(self.files.read(self.state_file)) if self.files.exists(self.state_file) else {"tables": {}, "status": {}, "next": 1}
+        fresh = {"tables": {}, "status": {}, "next": 1, "stale": []}
+        self.state = json.loads(self.files.read(self.state_file)) if self.files.exists(self.state_file) else fresh
         self.staged: dict[str, dict] = {}
 
     def stage(self, table: str, source: Source) -> Source:
         """Writes a new version and returns it as read from there."""
-        version = self.state["next"]
+        version, old = self.state["next"], self.state["tables"].get(table)
         base = f"{self.folder}/{table}/{version}"
-        source.data.write.mode("overwrite").parquet(f"{base}/data")
         if source.change is not None:
             source.change.write.mode("overwrite").parquet(f"{base}/change")
-        self.staged[table] = {"version": version, "change": source.change is not None}
+        if source.rows is not None and source.change is not None and old is not None and len(old["layers"]) < LAYERS:
+            source.rows.write.mode("overwrite").parquet(f"{base}/rows")
+            self.staged[table] = {"base": old["base"], "layers": [*old["layers"], version], "change": version}
+        else:
+            source.data.write.mode("overwrite").parquet(f"{base}/data")
+            self.staged[table] = {"base": version, "layers": [], "change": None if source.change is None else version}
         return self._open(table, self.staged[table])
 
+    def keep(self, table: str) -> Source:
+        """The table as it is, with no changes."""
+        self.staged[table] = self.state["tables"][table] | {"change": 0}
+        return self._open(table, self.staged[table])
+
+    def discard(self) -> None:
+        """What was staged does not count; the next batch writes over it."""
+        self.staged = {}
+
+    def _part(self, table: str, version: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{table}/{version}/{name}")
+
     def _open(self, table: str, entry: dict) -> Source:
-        base = f"{self.folder}/{table}/{entry['version']}"
-        return Source(self.spark.read.parquet(f"{base}/data"), self.spark.read.parquet(f"{base}/change") if entry["change"] else None)
+        data = self._part(table, entry["base"], "data")
+        if entry["layers"]:
+            layers = [(n, v) for n, v in enumerate(entry["layers"], 1)]
+            rows = data.withColumn("__layer", F.lit(0))
+            for n, v in layers:
+                rows = rows.unionByName(self._part(table, v, "rows").withColumn("__layer", F.lit(n)))
+            changed = reduce(DataFrame.unionByName, (self._part(table, v, "change").select("id", F.lit(n).alias("__last")) for n, v in layers))
+            last = changed.groupBy("id").agg(F.max("__last").alias("__last"))
+            data = rows.join(last, "id", "left").where("__last IS NULL OR __last = __layer").select(*data.columns)
+        if entry["change"] == 0:
+            return Source(data, self.spark.createDataFrame([], "id bigint, action string"))
+        return Source(data, None if entry["change"] is None else self._part(table, entry["change"], "change"))
 
     def has(self, table: str) -> bool:
         return table in self.staged or table in self.state["tables"]
@@ -90,13 +129,17 @@ class SnapshotStore:
         return self._open(table, self.state["tables"][table]).data
 
     def commit(self, status: dict | None = None) -> None:
-        old = {t: e for t, e in self.state["tables"].items() if t in self.staged}
-        new = {"tables": self.state["tables"] | self.staged, "status": self.state["status"] if status is None else status, "next": self.state["next"] + 1}
+        number = self.state["next"]
+        tables = self.state["tables"] | self.staged
+        used = lambda all_: {(t, v) for t, e in all_.items() for v in (e["base"], *e["layers"], e["change"]) if v}
+        stale = [*self.state["stale"], *([t, v, number] for t, v in sorted(used(self.state["tables"]) - used(tables)))]
+        old = [s for s in stale if s[2] <= number - KEEP]
+        rest = [s for s in stale if s[2] > number - KEEP]
+        new = {"tables": tables, "status": self.state["status"] if status is None else status, "next": number + 1, "stale": rest}
         self.files.replace(self.state_file, json.dumps(new))
         self.state, self.staged = new, {}
-        for t, e in old.items():
-            if e["version"] < new["next"] - 2:
-                self.files.remove(f"{self.folder}/{t}/{e['version']}")
+        for table, version, _ in old:
+            self.files.remove(f"{self.folder}/{table}/{version}")
 
 
 class StatusManager:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,56 +9,49 @@ from pyspark.sql import functions as F
 
 from wayloom.plans.pipeline import Pipeline
 from wayloom.sources import opl
+from wayloom.sources.files import LISTED, list_diffs, objects, state_date
 
-LINE = "value string"
+#: Diffs whose names come to the driver at once.
+PAGE = 1_000
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Lines with the sequence of their diff: the number in the file's name."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return lines.select("value", name.cast("int").alias("sequence"), F.col("_metadata.file_size").alias("size"))
+def catch_up(pipeline: Pipeline, folder: str, max_kb: int | None = 1024, keep_empty_nodes: bool = True) -> list[int]:
+    """Applies the diffs of a folder that come after the pipeline's sequence, in order, up to max_kb of them but one at least.
 
-
-def apply_lines(pipeline: Pipeline, lines: DataFrame, keep_empty_nodes: bool = True) -> list[int]:
-    """Applies the diffs (value, sequence) above the pipeline's sequence, lowest first; returns those applied.
-
-    The sequences of a batch come to the driver, one number a diff; the objects do not.
+    Diffs are text or XML, packed or not, numbered by their names or nested as 004/600/123. Each is read
+    once; its date is that of its state file. A diff that follows a gap waits until the gap is closed.
     """
-    known = pipeline.status.get_sequence()
-    fresh = lines if known is None else lines.where(F.col("sequence") > known)
-    done = []
-    for (sequence,) in fresh.select("sequence").where("sequence IS NOT NULL").distinct().orderBy("sequence").collect():
-        batch = opl.batches(opl.parse(lines.where(F.col("sequence") == sequence)), keep_empty_nodes)
-        if pipeline.apply(batch, sequence, dt.datetime.now(dt.UTC)):
-            done.append(sequence)
-    return done
-
-
-def catch_up(pipeline: Pipeline, folder: str, max_kb: int = 1024, keep_empty_nodes: bool = True) -> list[int]:
-    """Applies the diffs of a folder that come after the pipeline's sequence, in order, up to max_kb of them but one at least."""
-    known = pipeline.status.get_sequence()
-    if known is None:
-        raise ValueError("the pipeline has no sequence to go on from")
-    lines = numbered(pipeline.spark.read.text(folder))
-    sizes = lines.where(F.col("sequence") > known).groupBy("sequence").agg(F.first("size").alias("size")).orderBy("sequence").collect()
-    total, last = 0, None
-    for s in sizes:
-        total += s["size"]
-        if last is not None and total > max_kb * 1024:
-            break
-        last = s["sequence"]
-    return [] if last is None else apply_lines(pipeline, lines.where(F.col("sequence") <= last), keep_empty_nodes)
+    spark, total, done = pipeline.spark, 0, []
+    while True:
+        known = pipeline.status.get_sequence()
+        if known is None:
+            raise ValueError("the pipeline has no sequence to go on from")
+        fresh = list_diffs(spark, folder).where(F.col("sequence") > known)
+        page = fresh.groupBy("sequence").agg(F.min(F.struct("path", "size")).alias("f")).orderBy("sequence").limit(PAGE).select("sequence", "f.*").collect()
+        for r in page:
+            total += r["size"]
+            if r.sequence != known + 1 or (max_kb is not None and done and total > max_kb * 1024):
+                return done
+            pipeline.apply(opl.batches(objects(spark, r.path), keep_empty_nodes), r.sequence, state_date(spark, r.path))
+            known = r.sequence
+            done.append(known)
+        if len(page) < PAGE:
+            return done
 
 
 def stream(
-    spark: SparkSession, pipeline: Pipeline, folder: str, checkpoint: str, files_per_batch: int = 16, after: Callable[[list[int]], None] | None = None
-):
-    """A streaming query over a folder of diffs. A batch that runs again after a failure finds its sequences applied and does nothing."""
-    lines = numbered(spark.readStream.schema(LINE).format("text").option("maxFilesPerTrigger", files_per_batch).load(folder))
+    spark: SparkSession, pipeline: Pipeline, folder: str, checkpoint: str, files_per_batch: int = 16,
+    after: Callable[[list[int]], None] | None = None, keep_empty_nodes: bool = True,
+):
+    """A streaming query over a folder of diffs: files that arrive make the pipeline catch up.
+
+    A batch that runs again after a failure finds its sequences applied and does nothing.
+    """
+    files = spark.readStream.format("binaryFile").schema(LISTED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
-    def batch(df: DataFrame, _: int) -> None:
-        done = apply_lines(pipeline, df)
+    def batch(_: DataFrame, __: int) -> None:
+        done = catch_up(pipeline, folder, None, keep_empty_nodes)
         if after:
             after(done)
 
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.select("path", "length").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
