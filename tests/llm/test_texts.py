@@ -218,12 +218,15 @@ def mutated(rng, item, vocabulary):
     return out[k:]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_leaks_against_brute_force(seed):
+@pytest.mark.parametrize("seed, hot, limbs", [(0, 8, 8), (1, 1, 8), (2, 0, 0), (3, 1, 1), (4, 8, 8)])
+def test_leaks_against_brute_force(seed, hot, limbs, monkeypatch):
+    monkeypatch.setattr(leakage, "HOT", hot)
+    monkeypatch.setattr(leakage, "KEEP", 1 + seed)
+    monkeypatch.setattr(leakage, "LIMBS", limbs)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     sentence = lambda n: [rng.choice(vocabulary[: rng.choice([8, 60])]) for _ in range(n)]
-    items = [(k, " ".join(sentence(rng.choice([1, 3, 8, 12, 20, 37, 40, 60])))) for k in range(14)]
+    items = [(k, " ".join(sentence(rng.choice([1, 2, 3, 5, 8, 12, 20, 37, 40, 60, 90, 150])))) for k in range(20)]
     texts = []
     for k in range(60):
         base = sentence(rng.randrange(60))
@@ -243,7 +246,7 @@ def test_leaks_in_tables(spark, monkeypatch):
     items = spark.createDataFrame([(7, item, "en"), (8, None, "en"), (9, "", "en"), (7, item, "en"), (10, "unseen words only here", "en")], "item_id bigint, text string, lang string")
     want = [(0, 7), (1, 7), (2, 7), (7, 7), (8, 7)]
     assert rows(leakage.leaked(d, items), "doc_id", "item_id") == want
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 1)
     assert rows(leakage.leaked(d, items), "doc_id", "item_id") == want
     assert leakage.leaked(d, items.limit(0)).count() == 0 and leakage.leaked(d.limit(0), items).count() == 0
 
