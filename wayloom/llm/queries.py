@@ -74,7 +74,14 @@ QUERIES = {
     "p4_found": p4_found, "p4_terms": p4_terms, "p4_grams": p4_grams, "p8_pack_512": p8_pack_512, "p8_pack_2048": p8_pack_2048,
     "p9_found": p9_found, "p10_found": p10_found,
 }
+_P4_GRAMS = f"""
+WITH parts AS (SELECT obj, id, lower(trim(e.key, ' ')) AS tag_key, unnest(string_split(e.value, ';')) AS p FROM ({_ENTRIES}) WHERE e.value IS NOT NULL),
+seqs AS (SELECT obj, id, [w FOR w IN string_split(tag_key || ' ' || lower(trim(p, ' ')), ' ') IF w <> ''] AS ws FROM parts WHERE trim(p, ' ') <> ''),
+starts AS (SELECT obj, id, ws, unnest(range(1, len(ws) + 1)) AS i FROM seqs),
+grams AS (SELECT obj, id, ws[i : i + k - 1] AS g FROM starts, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws))
+SELECT obj, array_to_string(g, ' ') AS gram, count(*) AS occurrences, count(DISTINCT id) AS records FROM grams GROUP BY obj, g"""
 ORACLES = {
+    "p4_grams": _P4_GRAMS,
     "p4_found": f"{_P4} SELECT obj, tag_key, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": f"{_P4} SELECT obj, tag_key, term, occurrences, records, mark FROM marked",
 }

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.session import cut
+
 GRAMS = "grp string, gram array<string>, occurrences bigint, records bigint"
 
 
@@ -42,14 +44,16 @@ def _suffixes(sequences: Column, n: int, anchored: bool) -> Column:
 
 
 def _stack_pass(n: int):
+    """Adds up every prefix of the sorted suffixes; the empty prefix of a group has its occurrences of all suffixes and its records."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[str] = []
         occ, rec = [0] * (n + 1), [0] * (n + 1)
         group, first, out = None, None, []
 
         def pop(to: int, last: bool) -> None:
-            """Leaves the prefixes longer than to: each is complete, unless it runs on in a neighbouring partition."""
-            while len(stack) > to:
+            """Leaves the prefixes longer than to, with -1 the group too: each is complete, unless it runs on in a neighbouring partition."""
+            while len(stack) > max(to, 0):
                 k = len(stack)
                 edge = last or (first is not None and first[0] == group and first[1][:k] == stack)
                 out.append((group, list(stack), occ[k], rec[k], edge))
@@ -57,7 +61,8 @@ def _stack_pass(n: int):
                 rec[k - 1] += rec[k]
                 occ[k] = rec[k] = 0
                 stack.pop()
-            if not to:
+            if to < 0 and occ[0]:
+                out.append((group, [], occ[0], rec[0], True))
                 occ[0] = rec[0] = 0
 
         def flush() -> pd.DataFrame:
@@ -71,7 +76,7 @@ def _stack_pass(n: int):
                 if first is None:
                     group, first = g, (g, suffix)
                 if g != group:
-                    pop(0, False)
+                    pop(-1, False)
                     group = g
                 same = 0
                 while same < len(stack) and same < len(suffix) and stack[same] == suffix[same]:
@@ -81,38 +86,44 @@ def _stack_pass(n: int):
                 k = len(suffix)
                 occ[k] += count
                 rec[k] += count
-                rec[shared] -= count
+                if shared >= 0:
+                    rec[shared] -= count
             if len(out) >= 10_000:
                 yield flush()
-        pop(0, True)
+        pop(-1, True)
         if out:
             yield flush()
 
     return run
 
 
-def count_grams(records: DataFrame, n: int, anchored: bool = False) -> DataFrame:
+def count_grams(records: DataFrame, n: int, anchored: bool = False, totals: bool = False) -> DataFrame:
     """(grp, gram, occurrences, records) of every n-gram of up to n terms.
 
     records: (grp, sequences: array of arrays of terms), one row a record; groups are counted by
-    themselves. anchored: only grams at the start of a sequence. Null sequences and null terms are
-    left out, a null group is a group. No row is dropped and no count is capped.
+    themselves. anchored: only grams at the start of a sequence. totals: also a row with the empty gram
+    for each group, which has its suffixes and the records that have any. Null sequences and null terms
+    are left out, a null group is a group. No row is dropped and no count is capped.
+
+    The distinct suffixes are written once before they are range-sorted, and what the stack gives once
+    after: both are read twice.
     """
     w = _suffixes(F.col("sequences"), n, anchored)
     rows = records.select("grp", w.alias("all")).where(F.size("all") > 0)
     pairs = F.transform(
         "all",
         lambda s, i: F.struct(
-            s.alias("suffix"), F.when(i == 0, 0).otherwise(_shared(s, F.get("all", i - 1), n)).alias("shared")
+            s.alias("suffix"), F.when(i == 0, -1).otherwise(_shared(s, F.get("all", i - 1), n)).alias("shared")
         ),
     )
-    counted = rows.select("grp", F.inline(pairs)).groupBy("grp", "suffix", "shared").count()
+    counted = cut(rows.select("grp", F.inline(pairs)).groupBy("grp", "suffix", "shared").count())
     routed = counted.repartitionByRange(F.col("grp").asc(), F.col("suffix").asc()).sortWithinPartitions(
         F.col("grp").asc(), F.col("suffix").desc()
     )
-    grams = routed.mapInPandas(_stack_pass(n), GRAMS + ", edge boolean")
+    grams = cut(routed.mapInPandas(_stack_pass(n), GRAMS + ", edge boolean"))
     edges = grams.where("edge").groupBy("grp", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return grams.where("NOT edge").drop("edge").unionByName(edges)
+    out = grams.where("NOT edge").drop("edge").unionByName(edges)
+    return out if totals else out.where(F.size("gram") > 0)
 
 
 def tag_terms(tags: Column) -> Column:
@@ -124,13 +135,14 @@ def tag_terms(tags: Column) -> Column:
 
 
 def mark_terms(records: DataFrame, rare: int, common: float) -> DataFrame:
-    """(grp, gram, occurrences, records, mark) of the two-term grams at the start of a sequence.
+    """(grp, gram, occurrences, records, mark) of the two-term grams; sequences have two terms at most.
 
     mark rare: in at most ``rare`` records; common: in at least the share ``common`` of the records
     that have any; null: neither. A term that is both (in a tiny group) has a row for each.
     """
-    totals = records.where(F.size("sequences") > 0).groupBy(F.col("grp").alias("of")).agg(F.count(F.lit(1)).alias("total"))
-    grams = count_grams(records, 2, anchored=True).where(F.size("gram") == 2)
+    all_ = count_grams(records, 2, totals=True)
+    totals = all_.where(F.size("gram") == 0).select(F.col("grp").alias("of"), F.col("records").alias("total"))
+    grams = all_.where(F.size("gram") == 2)
     marks = F.array_compact(
         F.array(
             F.when(F.col("records") <= rare, "rare"),
