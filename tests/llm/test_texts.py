@@ -121,7 +121,7 @@ def packed(spark):
 
 def test_packing_keeps_everything(packed):
     texts, got = packed
-    enc = packing.tokenizer(packing.VOCABULARY)
+    enc = packing.tokenizer(*packing.vocabulary_of(packing.VOCABULARY))
     size = {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     pieces = collections.defaultdict(list)
     for r in got:
@@ -278,10 +278,32 @@ def test_ordinal_regression():
 
 
 def test_languages():
-    lexicon = levels.Lexicon(np.zeros(levels.BUCKETS))
-    english = lambda t: levels.is_english(levels.Text(t, lexicon).rows)
-    assert english("The room was clean and we liked it") and not english("Das Zimmer war sauber und wir mochten es sehr")
-    assert not english("La chambre est propre et nous avons aimé") and not english("La habitación es muy limpia y nos gusta") and not english("")
+    texts = ["The room was clean and we liked it", "Das Zimmer war sauber und wir mochten es sehr", "La chambre est propre et nous avons aimé", "La habitación es muy limpia y nos gusta", "", "..."]
+    assert levels.features(texts, levels.Lexicon({}))[2].tolist() == [True, False, False, False, False, False]
+    assert not levels.features(["", "1 2"], levels.Lexicon({}))[2].any()
+
+
+def test_features_do_not_depend_on_the_batch():
+    texts = ["The dog, the big dog, ran. It was late!" * 30, "", "However, NATO and the Berlin office insisted that nothing happened.\n\n" * 9, "a", "\x01\x02 one two. three", "x " * 3000]
+    lexicon = levels.Lexicon({"the": 2.0, "dog": 5.0})
+    own, rows_, _ = levels.features(texts, lexicon)
+    for i, t in enumerate(texts):
+        alone = levels.features([t], levels.Lexicon(lexicon.rarity))[1]
+        assert np.allclose(rows_[own == i], alone), i
+    assert np.bincount(own).tolist() == [7, 0, 2, 1, 1, 75]
+
+
+def test_tags_of_any_length_are_no_words():
+    tag = "<p class='" + "word " * 2000 + "'>"
+    assert levels.plain(f"a{tag}b<3 c<span title='{'x ' * 500}'>d").split() == ["a", "b<3", "c", "d"]
+
+
+def test_frequencies_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(levels, "COUNTED", 1)
+    d = docs(spark, *["the cat"] * 30, "The Cát sat", None, "")
+    assert levels.frequencies(d) == {"the": pytest.approx(-math.log(31 / 63)), "cat": pytest.approx(-math.log(31 / 63)), "sat": pytest.approx(math.log(63))}
+    monkeypatch.setattr(levels, "RAREST", 2.0)
+    assert set(levels.frequencies(d)) == {"the", "cat"} and levels.frequencies(d.limit(0)) == {}
 
 
 def test_levels_of_odd_texts(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,24 +25,33 @@ from wayloom.llm.words import words
 from wayloom.session import cut, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Bytes that a vocabulary may have at most, as it is sent to all executors.
+VOCABULARY_BYTES = 64 << 20
 DIMENSIONS, BITS = 3, 10
 #: Documents that are packed together, and containers that stay open along the curve.
 WINDOW, OPEN = 4_096, 1_024
 _HASHED = 512
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(vocabulary: str):
-    """The byte-level tokenizer of a ranks file, with its public splitting pattern."""
-    import tiktoken
-
+def vocabulary_of(path: str) -> tuple[bytes, str]:
+    """The contents of a ranks file, and the public splitting pattern: what tasks get sent, as they need not have the file."""
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
     try:
         from public_tokenizers import PATTERN as pattern
     except ImportError:
         # Fixed value: splits into contractions, letters, digits, other signs and white space
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    with open(vocabulary) as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
+    with open(path, "rb") as f:
+        return f.read(), pattern
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer(data: bytes, pattern: str):
+    """The byte-level tokenizer of a ranks file."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -101,9 +111,10 @@ def curve_keys(texts: list[str]) -> np.ndarray:
 
 def measured(documents: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, tokens, key): whole texts, in one pass. A null text has no tokens."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokenizer(vocabulary)
+        enc = tokenizer(*sent.value)
         for part in parts:
             for i in range(0, len(part), 1_000):
                 some = part.iloc[i : i + 1_000]
