@@ -99,6 +99,10 @@ def test_references(spark):
 # 2: nested records
 
 
+def parts_of(out):
+    return nested.named_parts(*(nested.flat_table(out, t) for t in (nested.MEMBER, nested.TAG)))
+
+
 def emitted(spark, *payloads):
     df = spark.createDataFrame([(i, i, p, "x", "y") for i, p in enumerate(payloads)], "record_id bigint, sequence int, payload string, tag string, key string")
     return nested.emit_tagged(df)
@@ -109,7 +113,7 @@ def test_nested_records(spark):
         "id": 7, "tags": [{"k": "name", "v": {"en": "a", "de": {"old": None}}}, {"k": "empty", "v": {}}, {"k": None, "v": 1}, None], "meta": {"members": [{"type": "way", "ref": 1}], "tags": {"no": 1}},
         "members": [None, {"type": "Way", "ref": "0055", "role": None, "tags": {"x": 1, "y": None}, "members": {"type": "relation", "ref": 6.0, "members": [3, {"ref": 9}]}}, "text"],
     }
-    got = rows(nested.named_parts(emitted(spark, json.dumps(record))), "path", "kind", "name")
+    got = rows(parts_of(emitted(spark, json.dumps(record))), "path", "kind", "name")
     assert got == sorted([
         ("", "tag", "name:en"), ("", "tag", "name:de:old"), ("1", "member", "W55"), ("1", "tag", "x"), ("1", "tag", "y"), ("1.0", "member", "R6"), ("1.0.1", "member", "9"),
     ])
@@ -121,17 +125,17 @@ def test_broken_and_odd_payloads(spark):
     bad = [None, "", "{", "[]", "null", "3", '{"a": NaN}', '{"members": [{"type": "w", "ref": 1}]', "{'a': 1}"]
     assert emitted(spark, *bad).count() == 0
     odd = ['{"members": null, "tags": 5}', '{"members": "x"}', '{"tags": {"a": "\\ud800"}}', '{"tags": {"é": [1, {"b": 2}]}}']
-    assert rows(nested.named_parts(emitted(spark, *odd, *odd)), "kind", "name") == sorted([("tag", "a"), ("tag", "a"), ("tag", "é"), ("tag", "é")])
+    assert rows(parts_of(emitted(spark, *odd, *odd)), "kind", "name") == sorted([("tag", "a"), ("tag", "a"), ("tag", "é"), ("tag", "é")])
 
 
 def test_very_deep_and_very_long(spark):
     depth = 3000
     deep = '{"members": [{"type": "w", "ref": 1, "members": ' * depth + "[]" + "}]}" * depth
     wide = json.dumps({"members": [{"type": "n", "ref": i} for i in range(30_000)], "tags": {"t": "x" * 1_000_000}})
-    got = nested.named_parts(emitted(spark, deep, wide)).groupBy("record_id", "kind").count().collect()
+    got = parts_of(emitted(spark, deep, wide)).groupBy("record_id", "kind").count().collect()
     assert {(r.record_id, r.kind): r["count"] for r in got} == {(1, "member"): 30_000, (1, "tag"): 1, (0, "member"): 2 * depth - 1}
     chain = '{"type":"w","ref":1,"members":' * 2000 + "null" + "}" * 2000
-    assert nested.named_parts(emitted(spark, chain)).where("kind = 'member'").count() == 1999
+    assert parts_of(emitted(spark, chain)).where("kind = 'member'").count() == 1999
 
 
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, false, null, "x\\n", {}, [], {"b": {"c": []}}]}', " [ ] ", '"x"', "12", '{"a": 1, "a": 2}'])
@@ -381,7 +385,7 @@ def test_widen(spark):
     assert got[5].bad == [] and got[6].n is None
     assert (got[7].unfit, got[7].n, got[7].bad) == (["n"], None, [])
     assert sorted(got[8].bad) == ["day", "n"]
-    cells = rows(widen.unclean_cells(df, ["id"], "tags", TYPES), "id", "tag_key", "state")
+    cells = rows(widen.unclean_cells(widen.widen(df, ["id"], "tags", TYPES), ["id"]), "id", "tag_key", "state")
     want = sorted((i, k, s) for i, r in got.items() for s in ("bad", "conflict") for k in r[s])
     assert cells == want
     assert widen.widen(df.limit(0), ["id"], "tags", TYPES).count() == 0
@@ -393,7 +397,7 @@ def test_rows_of_entries(spark):
         + [(7, "n", str(i)) for i in range(500)],
         "id bigint, a string, v string",
     )
-    wide = widen.widen(widen.gather_entries(long, ["id"], "a", "v", {"n": "int", "d": "double"}), ["id"], "entries", {"n": "int", "d": "double"})
+    wide = widen.widen_entries(long, ["id"], "a", "v", {"n": "int", "d": "double"})
     got = {r.id: (r.n, r.d, r.bad, r.conflict) for r in wide.collect()}
     assert got == {
         1: (1, None, [], []), 2: (None, None, [], ["n"]), 3: (None, 2.0, ["n"], []), 4: (None, None, [], []), 5: (None, None, [], []), 6: (None, None, [], []), 7: (None, None, [], ["n"]),
@@ -439,7 +443,7 @@ def test_numbers_and_depths_without_bound(spark):
     assert [x for tag, x in rows if tag == "tag"] == [{"name": "n", "value": big}, {"name": "d", "value": deep.replace("\\u00e4", "\u00e4")}]
     assert rows[0] == ("relation", {"id": big, "fields": f'{{"version": 3, "x": {big}}}'})
     df = spark.createDataFrame([(1, payload)], "record_id long, payload string").selectExpr("record_id", "1 AS sequence", "payload")
-    names = {(r.kind, r.name) for r in nested.named_parts(nested.emit_tagged(df)).collect()}
+    names = {(r.kind, r.name) for r in parts_of(nested.emit_tagged(df)).collect()}
     assert names == {("member", f"W-{big}"), ("member", "5"), ("tag", "n"), ("tag", "d")}
     for value in ({"a": [1, 2.5, None, True, {"b": "\u00e4\""}], "c": {}, "d": []}, [], "x"):
         assert nested._written(value) == json.dumps(value, ensure_ascii=False)

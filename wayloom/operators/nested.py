@@ -267,10 +267,8 @@ def read_tagged(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     return flat_table(spark.read.schema(EMITTED).parquet(folder), tag)
 
 
-def named_parts(emitted: DataFrame) -> DataFrame:
-    """Distinct (record_id, path, kind, name) of members and tags."""
-    members = flat_table(emitted, MEMBER).select(
-        "record_id", F.col("key").alias("path"), F.lit(MEMBER).alias("kind"), F.concat("type", "ref").alias("name")
-    )
-    tags = flat_table(emitted, TAG).select("record_id", F.col("key").alias("path"), F.lit(TAG).alias("kind"), "name")
+def named_parts(members: DataFrame, tags: DataFrame) -> DataFrame:
+    """Distinct (record_id, path, kind, name) of the flat tables of members and tags."""
+    members = members.select("record_id", F.col("key").alias("path"), F.lit(MEMBER).alias("kind"), F.concat("type", "ref").alias("name"))
+    tags = tags.select("record_id", F.col("key").alias("path"), F.lit(TAG).alias("kind"), "name")
     return members.unionByName(tags).distinct()

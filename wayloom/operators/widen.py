@@ -1,8 +1,8 @@
 """Attribute-value entries as wide, typed rows.
 
 Entities are hash-bucketed by their key. Within a bucket, keys and values are dictionary-encoded,
-so that each distinct (attribute, value) is parsed once; parsed values are scattered into one numpy
-array per column by row and column index and go out as Arrow record batches.
+so that each distinct (attribute, value) is parsed once; parsed values are scattered by row and column
+index into one numpy array for each type, and the columns go out as Arrow record batches.
 """
 
 from __future__ import annotations
@@ -58,33 +58,51 @@ def read_value(kind: str, value: str):
     return value
 
 
-def _fits(kind: str, value) -> bool:
-    return kind != "int" or isinstance(value, int) and -(2**63) <= value < 2**63
+#: The array type of each kind; texts are scattered as numbers of the distinct texts.
+ARRAYS = {"int": np.int64, "double": np.float64, "bool": np.bool_, "date": np.int32, "text": np.int64}
+
+
+class Pool:
+    """The distinct parsed values of one kind, by number and as an array."""
+
+    def __init__(self, kind: str):
+        self.kind, self.number, self.ready = kind, {}, 0
+        self.stored, self.fits = np.zeros(1024, ARRAYS[kind]), np.zeros(1024, bool)
+
+    def add(self, value) -> int:
+        if (n := self.number.get(value)) is None:
+            n = self.number[value] = len(self.number)
+            if n >= len(self.stored):
+                self.stored, self.fits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.stored, self.fits))
+            self.fits[n] = self.kind != "int" or isinstance(value, int) and -(2**63) <= value < 2**63
+            self.stored[n] = n if self.kind == "text" else value if self.fits[n] else 0
+        return n
 
 
 class Cells:
-    """The entries of a batch as cells: row, column, parsed value; parsed values are kept from batch to batch."""
+    """The entries of a batch as typed cells; parsed values are kept from batch to batch."""
 
     def __init__(self, types: Mapping[str, str]):
         self.names = list(types)
-        self.kinds = [types[n] for n in self.names]
         self.index = {n: i for i, n in enumerate(self.names)}
-        self.known: dict[tuple[int, str], tuple[int, bool, bool]] = {}
-        self.values: list[dict] = [{} for _ in self.names]
+        self.kinds = [types[n] for n in self.names]
+        #: Place of a column in the array of its kind.
+        self.slot = np.array([self.kinds[:i].count(k) for i, k in enumerate(self.kinds)] or [0])
+        self.pools = {k: Pool(k) for k in self.kinds}
+        self.known: dict[tuple[int, str], tuple[int, bool]] = {}
 
-    def parsed(self, col: int, value: str) -> tuple[int, bool, bool]:
-        """(number of the parsed value in its column, whether it reads, whether it is an entry)."""
+    def parsed(self, col: int, value: str) -> tuple[int, bool]:
+        """(number of the parsed value among those of its kind, -1 if it does not read; whether it is an entry)."""
         if (out := self.known.get((col, value))) is None:
             text = value.strip(" ")
             got = read_value(self.kinds[col], text) if text else None
-            number = -1 if got is None else self.values[col].setdefault(got, len(self.values[col]))
             if len(self.known) > 1_000_000:
                 self.known.clear()
-            out = self.known[col, value] = number, got is not None, bool(text)
+            out = self.known[col, value] = -1 if got is None else self.pools[self.kinds[col]].add(got), bool(text)
         return out
 
-    def scatter(self, rows: np.ndarray, keys: pa.Array, items: pa.Array, n: int):
-        """Per column: numbers of parsed values by row (-1: none), and masks of bad and conflicting cells."""
+    def scatter(self, rows: np.ndarray, keys: pa.Array, items: pa.Array, n: int) -> tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]:
+        """Typed columns of n rows, and masks (column, row) of bad, conflicting and unfit cells, which are null."""
         k, v = pc.dictionary_encode(keys), pc.dictionary_encode(items)
         columns = np.array([self.index.get(x.strip(" ").lower(), -1) if x is not None else -1 for x in k.dictionary.to_pylist()] or [-1])
         col = columns[k.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, int)
@@ -95,27 +113,35 @@ class Cells:
         pairs, back = np.unique(col * max(1, len(texts)) + code, return_inverse=True)
         looked = [self.parsed(int(p // max(1, len(texts))), texts[p % max(1, len(texts))]) for p in pairs.tolist()]
         number = np.array([x[0] for x in looked] or [0], np.int64)[back]
-        reads = np.array([x[1] for x in looked] or [False])[back]
-        entry = np.array([x[2] for x in looked] or [False])[back]
-        value = np.full((len(self.names), n), -1, np.int64)
-        bad = np.zeros((len(self.names), n), bool)
-        conflict = np.zeros((len(self.names), n), bool)
-        wrong = entry & ~reads
+        entry = np.array([x[1] for x in looked] or [False])[back]
+        bad, conflict, unfit = (np.zeros((len(self.names), n), bool) for _ in range(3))
+        wrong = entry & (number < 0)
         bad[col[wrong], rows[wrong]] = True
-        r, c, x = rows[reads], col[reads], number[reads]
-        value[c, r] = x
-        differs = value[c, r] != x  # of several entries the last was kept; any that differs from it
-        conflict[c[differs], r[differs]] = True
-        return value, bad, conflict
-
-    def column(self, c: int, numbers: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """A typed array for numbers of parsed values, and the mask of those that do not fit the type."""
-        kind, table = self.kinds[c], list(self.values[c])
-        fits = np.array([_fits(kind, x) for x in table] or [False])
-        stored = pa.array([x if ok else None for x, ok in zip(table, fits)] or [None], pa.int32() if kind == "date" else KINDS[kind][1])
-        if kind == "date":
-            stored = stored.cast(pa.date32())
-        return stored.take(pa.array(np.maximum(numbers, 0), mask=numbers < 0)), (numbers >= 0) & ~fits[np.maximum(numbers, 0)]
+        cell, number = (col * n + rows)[number >= 0], number[number >= 0]
+        order = np.lexsort((number, cell))
+        cell, number = cell[order], number[order]
+        again = np.zeros(len(cell), bool)
+        again[1:] = (cell[1:] == cell[:-1]) & (number[1:] != number[:-1])
+        conflict.reshape(-1)[cell[again]] = True
+        out: list[pa.Array | None] = [None] * len(self.names)
+        for kind, pool in self.pools.items():
+            mine = [c for c, x in enumerate(self.kinds) if x == kind]
+            data, there = np.zeros((len(mine), n), ARRAYS[kind]), np.zeros((len(mine), n), bool)
+            some = np.isin(cell // max(1, n), mine)
+            c, r, x = cell[some] // n, cell[some] % n, number[some]
+            data[self.slot[c], r], there[self.slot[c], r] = pool.stored[x], True
+            unfit[c, r] = ~pool.fits[x]
+            unfit[mine] &= ~(bad[mine] | conflict[mine])
+            null = ~there | bad[mine] | conflict[mine] | unfit[mine]
+            texts = pa.array(pool.number, pa.string()) if kind == "text" else None
+            for i, c in enumerate(mine):
+                array = pa.array(data[i], mask=null[i])
+                out[c] = texts.take(array) if kind == "text" else array.cast(pa.date32()) if kind == "date" else array
+        return out, bad, conflict, unfit
+
+    def full(self) -> bool:
+        """Whether so many values are known that it is better to begin anew."""
+        return sum(len(p.number) for p in self.pools.values()) > 1_000_000
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -167,16 +193,10 @@ def widen(entities: DataFrame, key: list[str], tags: str, types: Mapping[str, st
         for b in batches:
             if not b.num_rows:
                 continue
-            value, bad, conflict = cells.scatter(*_flat(b), b.num_rows)
-            value[bad | conflict] = -1
-            columns, over = [], []
-            for c in range(len(cells.names)):
-                array, unfit = cells.column(c, value[c])
-                columns.append(array)
-                over.append(unfit)
-            lists = [_names(cells.names, m) for m in (bad, conflict, np.array(over).reshape(bad.shape))]
+            columns, *masks = cells.scatter(*_flat(b), b.num_rows)
+            lists = [_names(cells.names, m) for m in masks]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns, *lists], [*(f.name for f in fields), *names, "bad", "conflict", "unfit"])
-            if sum(map(len, cells.values)) > 1_000_000:
+            if cells.full():
                 cells = Cells(types)
 
     return entities.select(*key, tags).mapInArrow(run, schema)
@@ -188,30 +208,15 @@ def _names(names: list[str], mask: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(names or [""], pa.string()).take(pa.array(cols)))
 
 
-def unclean_cells(entities: DataFrame, key: list[str], tags: str, types: Mapping[str, str]) -> DataFrame:
-    """(key columns, tag_key, state): the bad and conflict cells of widen, without sending the wide rows."""
-    fields = entities.select(*key).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "tag_key string", "state string"])
-    types = dict(types)
+def unclean_cells(wide: DataFrame, key: list[str]) -> DataFrame:
+    """(key columns, tag_key, state): the bad and conflict cells that the rows of widen report."""
+    named = lambda state: F.transform(state, lambda k: F.struct(k.alias("tag_key"), F.lit(state).alias("state")))
+    return wide.select(*key, F.inline(F.concat(named("bad"), named("conflict"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Cells(types)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            _, bad, conflict = cells.scatter(*_flat(b), b.num_rows)
-            for state, mask in (("bad", bad), ("conflict", conflict)):
-                cols, rows = np.nonzero(mask)
-                at = pa.array(rows)
-                names = pa.array(cells.names or [""], pa.string()).take(pa.array(cols))
-                yield pa.RecordBatch.from_arrays(
-                    [*(x.take(at) for x in b.columns[:-1]), names, pa.array([state] * len(rows), pa.string())],
-                    [*(f.name for f in fields), "tag_key", "state"],
-                )
-            if sum(map(len, cells.values)) > 1_000_000:
-                cells = Cells(types)
 
-    return entities.select(*key, tags).mapInArrow(run, schema)
+def widen_entries(rows: DataFrame, key: list[str], attribute: str, value: str, types: Mapping[str, str]) -> DataFrame:
+    """As widen, for rows of entity, attribute and value, in any order and number."""
+    return widen(gather_entries(rows, key, attribute, value, types), key, "entries", types)
 
 
 def gather_entries(rows: DataFrame, key: list[str], attribute: str, value: str, types: Mapping[str, str]) -> DataFrame:

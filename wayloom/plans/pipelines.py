@@ -37,7 +37,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.named_parts(nested.emit_tagged(read(spark, d, "relation_json")))
+    """The payloads are visited once; the flat tables are read from what that wrote, one folder a tag."""
+    folder = fresh_folder(spark, "nested")
+    nested.write_tagged(nested.emit_tagged(read(spark, d, "relation_json")), folder)
+    return nested.named_parts(*(nested.read_tagged(spark, folder, tag) for tag in (nested.MEMBER, nested.TAG)))
 
 
 def p2_members(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +96,22 @@ def _tagged(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     types = {k: t for k, t in tag_types(spark, d).items() if t != "text"}
-    return widen.unclean_cells(_tagged(spark, d), ["obj", "id"], "tags", types)
+    return widen.unclean_cells(widen.widen(_tagged(spark, d), ["obj", "id"], "tags", types), ["obj", "id"])
 
 
 def p7_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen.widen(_tagged(spark, d), ["obj", "id"], "tags", tag_types(spark, d))
+    return _listed(widen.widen(_tagged(spark, d), ["obj", "id"], "tags", tag_types(spark, d)))
+
+
+def p7_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table from rows of entity, attribute and value; objects without tags have no row here."""
+    rows = _tagged(spark, d).select("obj", "id", F.explode("tags").alias("attribute", "value"))
+    return _listed(widen.widen_entries(rows, ["obj", "id"], "attribute", "value", tag_types(spark, d)))
+
+
+def _listed(wide: DataFrame) -> DataFrame:
+    """The lists of attributes as sorted text."""
+    return wide.withColumns({c: F.array_join(F.sort_array(c), ",") for c in ("bad", "conflict", "unfit")})
 
 
 def current_sql(table: str, columns: str) -> str:
@@ -177,9 +191,42 @@ SELECT obj, id, tag_key, 'bad' AS state FROM parsed WHERE r IS NULL GROUP BY ALL
 UNION ALL
 SELECT obj, id, tag_key, 'conflict' FROM parsed GROUP BY obj, id, tag_key HAVING count(DISTINCT r) > 1"""
 
+_BIG = "regexp_replace(regexp_replace(v, '^[+]', ''), '^(-?)0+([0-9])', '\\1\\2')"
+_READ = f"""CASE
+  WHEN k = 'int' AND regexp_full_match(v, '[+-]?[0-9]+') THEN CASE WHEN {_BIG} = '-0' THEN '0' ELSE {_BIG} END
+  WHEN k = 'double' AND regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?') THEN (v::DOUBLE + 0)::VARCHAR
+  WHEN k = 'bool' AND lower(v) IN ('yes', 'true', '1') THEN 'true'
+  WHEN k = 'bool' AND lower(v) IN ('no', 'false', '0') THEN 'false'
+  WHEN k = 'date' AND regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(v AS DATE)::VARCHAR
+  WHEN k = 'text' THEN v END"""
+
+
+def _wide_sql(types: dict[str, str], rows: str) -> str:
+    """The wide table: a column for each attribute, null where the cell could not be filled cleanly."""
+    sql = {"int": "BIGINT", "double": "DOUBLE", "bool": "BOOLEAN", "date": "DATE", "text": "VARCHAR"}
+    cells = ", ".join(f"try_cast(max(r) FILTER (WHERE tag_key = '{k}' AND clean) AS {sql[t]}) AS \"{k}\"" for k, t in types.items())
+    names = lambda flag: f"coalesce(string_agg(tag_key, ',' ORDER BY tag_key) FILTER (WHERE {flag}), '')"
+    return f"""
+WITH e AS (SELECT obj, id, lower(trim(e.key, ' ')) AS tag_key, trim(e.value, ' ') AS v FROM ({_TAGGED}) WHERE e.value IS NOT NULL),
+parsed AS (SELECT obj, id, tag_key, k, {_READ} AS r FROM (SELECT e.*, t.col_type AS k FROM e JOIN tag_types t USING (tag_key) WHERE v <> '')),
+cells AS (SELECT obj, id, tag_key, k, min(r) AS r, bool_or(r IS NULL) AS bad, count(DISTINCT r) > 1 AS conflict FROM parsed GROUP BY ALL),
+marked AS (SELECT *, NOT bad AND NOT conflict AS clean, NOT bad AND NOT conflict AND k = 'int' AND try_cast(r AS BIGINT) IS NULL AS unfit FROM cells),
+wide AS (SELECT obj, id, {cells}, {names('bad')} AS bad, {names('conflict')} AS conflict, {names('unfit')} AS unfit FROM marked GROUP BY obj, id)
+SELECT * EXCLUDE (bad, conflict, unfit), coalesce(bad, '') AS bad, coalesce(conflict, '') AS conflict, coalesce(unfit, '') AS unfit FROM ({rows}) LEFT JOIN wide USING (obj, id)"""
+
+
+# The attributes of the test tables and their types, in the order of the table
+TYPES = {
+    "lanes": "int", "maxspeed": "int", "capacity": "int", "population": "int", "layer": "int", "ele": "double", "width": "double",
+    "distance": "double", "ascent": "double", "height": "double", "oneway": "bool", "lit": "bool", "bridge": "bool", "wheelchair": "bool",
+    "roundtrip": "bool", "start_date": "date", "check_date": "date", "survey:date": "date", "name": "text", "ref": "text",
+    "operator": "text", "surface": "text", "cuisine": "text", "network": "text",
+}
+_OBJECTS = " UNION ALL ".join(f"SELECT '{o}' AS obj, id FROM {current_sql(t, 'id, tags')}" for o, t in (("node", "nodes"), ("way", "ways"), ("relation", "relations")))
+
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found,
-    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide,
+    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide, "p7_entries": p7_entries,
 }
 ORACLES = {
     "p1_found": _P1,
@@ -190,4 +237,6 @@ ORACLES = {
     "p5_found": _P5,
     "p6_found": _P6,
     "p7_found": _P7,
+    "p7_wide": _wide_sql(TYPES, _OBJECTS),
+    "p7_entries": _wide_sql(TYPES, f"SELECT DISTINCT obj, id FROM ({_TAGGED})"),
 }
