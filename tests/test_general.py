@@ -192,6 +192,45 @@ def test_near_pairs_of_unusable_points(spark):
     assert proximity.near_pairs(df.limit(0), 10.0).count() == 0
 
 
+@pytest.mark.parametrize("hot, tested", [(50, 100), (1, 7)])
+def test_crowded_cells_are_salted(spark, monkeypatch, hot, tested):
+    monkeypatch.setattr(proximity, "HOT", hot)
+    monkeypatch.setattr(proximity, "TESTED", tested)
+    rng = random.Random(hot)
+    points = {i: (33 + rng.uniform(0, 2e-4), 60 + rng.uniform(0, 1e-4)) for i in range(240)} | {300 + i: (34.0, 60.0) for i in range(30)}
+    df = spark.createDataFrame([(i, *p, "c", 1, 2) for i, p in points.items()], POINT)
+    want = sorted((a, b) for a, b in itertools.combinations(points, 2) if distance(points[a], points[b]) <= 10)
+    assert rows(proximity.near_pairs(df, 10.0), "node_a", "node_b") == want
+    pairs, members = proximity.near_places(df, 10.0)
+    assert rows(members, "place", "id") == [(300, 300 + i) for i in range(30)] and pairs.where("a >= 300").count() == 0
+
+
+def inside(p, ring):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > p[1]) != (y2 > p[1]) and p[0] < (x2 - x1) * (p[1] - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_points_in_regions_against_brute_force(spark):
+    rng = random.Random(3)
+    points = {i: (rng.uniform(-180, 180), rng.uniform(-90, 90)) if i % 3 == 0 else (10 + rng.uniform(0, 0.02), 50 + rng.uniform(0, 0.02)) for i in range(500)}
+    points[500], points[501] = (180.0, 90.0), (-180.0, -90.0)
+    regions = {0: [(-170.0, -80.0), (170.0, -80.0), (0.0, 85.0)], 1: [(-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0)], 2: [(10.0, 50.0), (10.0, 50.0), (10.0, 50.0)]}
+    for k in range(3, 40):
+        x, y, size = 10 + rng.uniform(0, 0.02), 50 + rng.uniform(0, 0.02), rng.choice([1e-4, 1e-3, 1e-2])
+        regions[k] = [(x + rng.uniform(-size, size), y + rng.uniform(-size, size)) for _ in range(rng.choice([3, 4, 9]))]
+        if k % 2:
+            regions[k].append(regions[k][0])
+    regions[40] = [points[i] for i in (1, 2, 4, 5)]  # points on the ring itself
+    p = spark.createDataFrame([(i, *v, "c", 1, 2) for i, v in points.items()] + [(None, 1.0, 1.0, "", 0, 0), (900, None, 1.0, "", 0, 0)], POINT)
+    r = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in v], 1.0) for k, v in regions.items()] + [(91, None, 0.0), (92, [{"x": 1.0, "y": None}] * 4, 0.0), (93, [], 0.0)], "id bigint, ring array<struct<x:double,y:double>>, x double")
+    want = sorted((k, i) for k, ring in regions.items() for i, v in points.items() if inside(v, ring))
+    assert rows(proximity.points_in_regions(p, r), "region", "point") == want and len(want) > 600
+    assert proximity.points_in_regions(p.limit(0), r).count() == 0 and proximity.points_in_regions(p, r.limit(0)).count() == 0
+
+
 # 5: new and changed records
 
 FEED = "id bigint, version int, sequence int, date timestamp, feed string, part string, size int"

@@ -1,10 +1,15 @@
-"""Points near other points: cells on a space-filling curve, discs as ranges of cells, exact distance.
+"""Points near other points, or in regions: cells on a space-filling curve, ranges of cells, exact tests.
 
-The earth is cut into rows as high as the radius and each row into cells at least as wide, so that
-cells stay square up to the poles and meet across the date line. A cell's code interleaves the bits
-of its row and column (Z order). The disc around a point is covered by cells, adjacent codes are
-joined to ranges, and a range is cut at blocks of the curve. Points and ranges are shuffled by
-block and sorted; within a block, a range meets the codes between its ends, and the distance decides.
+For distances, the earth is cut into rows as high as the radius and each row into cells at least as
+wide, so that cells stay square up to the poles and meet across the date line. A cell's code
+interleaves the bits of its row and column (Z order). The disc around a point is covered by cells,
+adjacent codes are joined to ranges, and a range is cut at blocks of the curve. For regions, cells are
+those of a quadtree over longitude and latitude, on a level that suits the region's size.
+
+Points and ranges come out of one pass and are shuffled together by block. In a task they are sorted by
+code, and a range meets the run of codes between its ends, which two binary searches find; the distance
+or the region's border decides. Blocks with more rows than HOT are put aside in that pass and joined in
+a second one, both sides salted, so that no task holds more than a few times HOT rows.
 """
 
 from __future__ import annotations
@@ -16,9 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.session import cut
+
 EARTH_M = 6_371_008.8
-#: Bits of the code below a block: 4 x 4 cells.
-BLOCK_BITS = 4
+#: Bits of the code below a block: 4 x 4 cells for discs, 8 x 8 for regions.
+BLOCK_BITS, REGION_BITS = 4, 6
+#: Rows of a block that one task holds; blocks with more are salted.
+HOT = 200_000
+#: Pairs of a point and a range that are tested together.
+TESTED = 1_000_000
+#: Levels of the quadtree, and cells of a region's level that its box may span.
+LEVELS, COVER = 26, 64
 
 
 def _spread(v: np.ndarray) -> np.ndarray:
@@ -87,45 +100,150 @@ def _ranges(at: np.ndarray, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndar
     return at[starts], block[starts], codes[starts], codes[ends]
 
 
+_TAGGED = "grp bigint, kind int, lo bigint, hi bigint, id bigint, x double, y double"
+#: Kinds of rows: a point at code lo; a range; a range that begins with the code of its own point; a range within a region.
+_POINT, _RANGE, _OWN, _INSIDE = 0, 1, 2, 3
+
+
+def _rows(*parts: tuple) -> pa.RecordBatch:
+    """One batch of tagged rows from parts of columns."""
+    columns = [np.concatenate([np.broadcast_to(p[i], len(p[4])) for p in parts]) for i in range(7)]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["grp", "kind", "lo", "hi", "id", "x", "y"])
+
+
 def encode(points: DataFrame, radius_m: float) -> DataFrame:
-    """(id, x, y, code, ranges): one pass over Arrow batches, no shuffle."""
+    """Tagged rows of points (id, x, y): each at its code, and the ranges that cover its disc. One pass over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = Grid(radius_m)
-        item = pa.struct([("block", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            i, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
             own = grid.code(x, y)
             at, block, lo, hi = _ranges(*grid.cover(x, y), own)
-            offsets = np.searchsorted(at, np.arange(b.num_rows + 1)).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(v) for v in (block, lo, hi)], fields=list(item))
-            ranges = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("x"), b.column("y"), pa.array(own), ranges], ["id", "x", "y", "code", "ranges"]
-            )
+            yield _rows((own >> BLOCK_BITS, _POINT, own, own, i, x, y), (block, np.where(lo == own[at], _OWN, _RANGE), lo, hi, i[at], x[at], y[at]))
 
-    return points.select("id", "x", "y").mapInArrow(
-        run, "id bigint, x double, y double, code bigint, ranges array<struct<block:bigint,lo:bigint,hi:bigint>>"
-    )
+    return points.select("id", "x", "y").mapInArrow(run, _TAGGED)
 
 
-def _half_square(degrees: Column) -> Column:
-    s = F.sin(F.radians(degrees) / 2)
-    return s * s
+def _near(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, radius_m: float) -> np.ndarray:
+    """Whether two places lie at most radius_m apart on the sphere (haversine)."""
+    h = np.sin(np.radians(y2 - y1) / 2) ** 2 + np.cos(np.radians(y1)) * np.cos(np.radians(y2)) * np.sin(np.radians(x2 - x1) / 2) ** 2
+    return h <= np.sin(radius_m / EARTH_M / 2) ** 2
 
 
-def within(x1: Column, y1: Column, x2: Column, y2: Column, radius_m: float) -> Column:
-    """Whether two places lie at most radius_m apart on the sphere (haversine)."""
-    h = _half_square(y2 - y1) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * _half_square(x2 - x1)
-    return h <= float(np.sin(radius_m / EARTH_M / 2) ** 2)
+def _range_join(columns: list[np.ndarray], bits: int, radius_m: float | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id of a range's row, id of a point, kind of the range, place of the point) of rows sorted by group and code. With a radius, only those within it."""
+    grp, kind, lo, hi, ids, x, y = columns
+    number = np.cumsum(np.r_[False, grp[1:] != grp[:-1]])
+    low, mask = number << bits, (1 << bits) - 1
+    p, r = np.flatnonzero(kind == _POINT), np.flatnonzero(kind != _POINT)
+    codes = low[p] | (lo[p] & mask)
+    first = np.searchsorted(codes, low[r] | (lo[r] & mask))
+    many = np.searchsorted(codes, low[r] | (hi[r] & mask), "right") - first
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(r):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TESTED, "right")))
+        n = many[at:to]
+        a = np.repeat(r[at:to], n)
+        b = p[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)]
+        at = to
+        if radius_m is not None:
+            hit = (kind[a] != _OWN) | (lo[b] != lo[a]) | (ids[b] > ids[a])
+            a, b = a[hit], b[hit]
+            hit = _near(x[a], y[a], x[b], y[b], radius_m)
+            a, b = a[hit], b[hit]
+        if len(a):
+            yield ids[a], ids[b], kind[a], x[b], y[b]
+
+
+def _joined(tagged: DataFrame, bits: int, radius_m: float | None) -> DataFrame:
+    """(a, b, kind, x, y): the matches of ranges and points of tagged rows, with the place of the point."""
+
+    def task(hot: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] | None = None
+            aside: int | None = None
+            empty = [np.zeros(0, np.int64)] * 3
+
+            def matches(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                for a, b, kind, x, y in _range_join(columns, bits, radius_m) if len(columns[0]) else ():
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a), pa.array(b), pa.array(kind.astype(np.int32)), none, none, none, pa.array(x), pa.array(y)], _OUT_NAMES
+                    )
+
+            def put_aside(columns: list[np.ndarray]) -> pa.RecordBatch:
+                grp, kind, lo, hi, ids, x, y = columns
+                none = pa.nulls(len(ids), pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(ids), none, pa.array(kind.astype(np.int32)), *(pa.array(c) for c in (grp, lo, hi, x, y))], _OUT_NAMES
+                )
+
+            for batch in batches:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if aside is not None:
+                    n = int(np.searchsorted(columns[0], aside, "right"))
+                    if n:
+                        yield put_aside([c[:n] for c in columns])
+                        columns = [c[n:] for c in columns]
+                if held is not None and len(held[0]):
+                    columns = [np.concatenate(p) for p in zip(held, columns)]
+                if not len(columns[0]):
+                    continue
+                last = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield from matches([c[:last] for c in columns])
+                held = [c[last:] for c in columns]
+                if hot is not None and len(held[0]) > hot:
+                    aside = int(held[0][0])
+                    yield put_aside(held)
+                    held = None
+            yield from matches(held if held is not None else empty)
+
+        return run
+
+    by = lambda df: df.repartition("grp").sortWithinPartitions("grp", "lo").select(*_NAMES).mapInArrow(task(HOT), _OUT)
+    first = cut(by(tagged))
+    found = ["a", "b", "kind", "x", "y"]
+    done = first.where("b IS NOT NULL").select(*found)
+    hot = first.where("b IS NULL")
+    if hot.isEmpty():
+        return done
+    salts = hot.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT)).cast("int").alias("salts"))
+    own, every = F.pmod(F.xxhash64("id"), F.col("salts")), F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")
+    salted = hot.withColumnRenamed("a", "id").join(salts, "grp")
+    points = salted.where(F.col("kind") == _POINT).withColumn("s", own).withColumn("t", F.explode(every))
+    ranges = salted.where(F.col("kind") != _POINT).withColumn("t", own).withColumn("s", F.explode(every))
+    split = points.unionByName(ranges).withColumn("grp", F.xxhash64("grp", "s", "t"))
+    rest = split.repartition("grp").sortWithinPartitions("grp", "lo").select(*_NAMES).mapInArrow(task(None), _OUT)
+    return done.unionByName(rest.select(*found))
+
+
+_NAMES = ["grp", "kind", "lo", "hi", "id", "x", "y"]
+_OUT = "a bigint, b bigint, kind int, grp bigint, lo bigint, hi bigint, x double, y double"
+_OUT_NAMES = ["a", "b", "kind", "grp", "lo", "hi", "x", "y"]
 
 
 def usable_places(df: DataFrame) -> DataFrame:
-    """Rows with a place on earth: x and y not null and in range, and not 0/0, which stands for unknown."""
+    """Rows with an id and a place on earth: x and y not null, no NaN, in range, and not 0/0, which stands for unknown."""
     x, y = F.col("x"), F.col("y")
-    return df.where(x.between(-180, 180) & y.between(-90, 90) & ~((x == 0) & (y == 0)))
+    return df.where(F.col("id").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & x.between(-180, 180) & y.between(-90, 90) & ~((x == 0) & (y == 0)))
+
+
+def near_places(points: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different places at most radius_m apart, and members (place, id), for points (id, x, y; one row an id).
+
+    A place is named by the least id at it; members has the rows of all places with more than one. So a
+    crowd at one place is one row of the join, and its members need not be paired.
+    """
+    ok = usable_places(points).select("id", "x", "y")
+    places = ok.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    pairs = _joined(encode(places, radius_m), BLOCK_BITS, radius_m).select("a", "b")
+    shared = places.where("n > 1").select("x", "y", F.col("id").alias("place"))
+    return pairs, ok.join(shared, ["x", "y"]).select("place", "id")
 
 
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
@@ -133,21 +251,120 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
 
     Points at the same place are pairs too. Rows without a usable place, with a null id, and NaN
     are left out; an empty table gives an empty result. The pairs are the result, so a crowded
-    place costs what it returns; Spark splits the partition of a crowded block in the join.
+    place costs what it returns here; near_places gives the same without the pairs of crowds.
+    """
+    pairs, members = near_places(points, radius_m)
+    members = cut(members)
+    if not members.isEmpty():
+        named = lambda c: members.select(F.col("place").alias(c), F.col("id").alias(f"{c}_id"))
+        both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        pairs = both.select(F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"))
+        own = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "place").where("a < b")
+        pairs = pairs.unionByName(own.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"))
+
+
+# Regions
+
+
+def _quad(lon: np.ndarray, lat: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column in the quadtree's cells of a level."""
+    n = 1 << level
+    part = lambda v, low, span: np.clip(np.floor((v - low) / span * n), 0, n - 1).astype(np.int64)
+    return part(lat, -90, 180), part(lon, -180, 360)
+
+
+def _group(level: int, code: np.ndarray) -> np.ndarray:
+    """Blocks of different levels are different groups."""
+    return (code >> REGION_BITS) | (level << 56)
+
+
+def cover_region(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(level, lo, hi, inside): ranges of cells that cover a ring; inside: all of the range lies within it.
+
+    The level is the finest on which the ring's box spans at most COVER cells.
     """
-    ok = usable_places(points.where(F.col("id").isNotNull() & ~F.isnan("x") & ~F.isnan("y")))
-    coded = encode(ok, radius_m)
-    a = coded.select(
-        F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("code").alias("ac"), F.inline("ranges")
-    )
-    b = coded.select(
-        F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("code").alias("bc"),
-        F.shiftright("code", BLOCK_BITS).alias("block"),
-    )
-    hit = F.col("bc").between(F.col("lo"), F.col("hi")) & ((F.col("bc") > F.col("ac")) | (F.col("b") > F.col("a")))
-    near = within(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), radius_m)
-    return (
-        a.join(b, "block")
-        .where(hit & near)
-        .select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"))
-    )
+    for level in range(LEVELS, -1, -1):
+        (r0, r1), (c0, c1) = _quad(np.array([x.min(), x.max()]), np.array([y.min(), y.max()]), level)
+        if (r1 - r0 + 1) * (c1 - c0 + 1) <= COVER:
+            break
+    rows, cols = (v.ravel() for v in np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij"))
+    w, h = 360 / (1 << level), 180 / (1 << level)
+    left, low = cols * w - 180, rows * h - 90
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    grow = 1e-9  # cells count as crossed a little beyond their border, so that rounding makes none of them inside
+    enter, leave = np.zeros((len(rows), len(x))), np.ones((len(rows), len(x)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for p, d, edge, size in ((x, x2 - x, left, w), (y, y2 - y, low, h)):
+            s, t = (edge[:, None] - grow - p) / d, (edge[:, None] + size + grow - p) / d
+            flat = (d == 0)[None, :]
+            out = (p < edge[:, None] - grow) | (p > edge[:, None] + size + grow)
+            enter = np.maximum(enter, np.where(flat, np.where(out, 2.0, 0.0), np.minimum(s, t)))
+            leave = np.minimum(leave, np.where(flat, 1.0, np.maximum(s, t)))
+        crossed = (enter <= leave).any(1)
+        mx, my = left + w / 2, low + h / 2
+        turn = (y > my[:, None]) != (y2 > my[:, None])
+        within = (turn & (mx[:, None] < (x2 - x) * (my[:, None] - y) / (y2 - y) + x)).sum(1) % 2 == 1
+    keep = crossed | within
+    code, inside = curve_code(rows[keep], cols[keep]), ~crossed[keep]
+    order = np.argsort(code)
+    code, inside = code[order], inside[order]
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1] + 1) | (inside[1:] != inside[:-1]) | (code[1:] >> REGION_BITS != code[:-1] >> REGION_BITS)])
+    ends = np.r_[starts[1:], len(code)] - 1
+    return level, code[starts], code[ends], inside[starts]
+
+
+def within_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring (array of points, closed or not): a ray to the east crosses an odd number of its edges."""
+    ahead = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
+
+    def crosses(a: Column, b: Column) -> Column:
+        turn = (a["y"] > y) != (b["y"] > y)
+        return F.when(turn & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]), 1).otherwise(0)
+
+    return F.aggregate(F.zip_with(ring, ahead, crosses), F.lit(0), lambda n, c: n + c) % 2 == 1
+
+
+def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, point) for points (id, x, y) and regions (id, ring: array of points x, y), one row an id each.
+
+    A region is the inside of its ring on the plane of longitude and latitude; the ring is closed by
+    itself. Points without a usable place, rings of fewer than three points or with nulls, and null ids
+    have no rows. The levels in use, at most LEVELS + 1 small numbers, come to the driver.
+    """
+    whole = F.size("ring") >= 3
+    whole = whole & ~F.exists("ring", lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull())
+    regions = regions.where(F.col("id").isNotNull() & whole).select("id", "ring")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for i, ring in zip(b.column("id").to_pylist(), b.column("ring").to_pylist()):
+                x, y = (np.array([p[c] for p in ring]) for c in "xy")
+                level, lo, hi, inside = cover_region(x, y)
+                none = np.zeros(len(lo))
+                parts.append((_group(level, lo), np.where(inside, _INSIDE, _RANGE), lo, hi, np.full(len(lo), i), none, none))
+            if parts:
+                yield _rows(*parts)
+
+    ranges = cut(regions.mapInArrow(cover, _TAGGED))
+    levels = sorted(r[0] for r in ranges.select(F.shiftright("grp", 56)).distinct().collect())
+    if not levels:
+        return regions.sparkSession.createDataFrame([], "region bigint, point bigint")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i, x, y = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                row, col = _quad(x, y, LEVELS)
+                code = curve_code(row, col)
+                up = [code >> 2 * (LEVELS - k) for k in levels]
+                yield _rows(*((_group(k, c), _POINT, c, c, i, x, y) for k, c in zip(levels, up)))
+
+    places = usable_places(points).select("id", "x", "y")
+    blocks = ranges.select("grp").distinct()
+    tagged = places.mapInArrow(place, _TAGGED).join(blocks, "grp", "left_semi").select(*_NAMES).unionByName(ranges)
+    met = cut(_joined(tagged, REGION_BITS, None).select(F.col("a").alias("region"), F.col("b").alias("point"), "kind", "x", "y"))
+    asked = met.where(F.col("kind") != _INSIDE).join(regions.withColumnRenamed("id", "region"), "region")
+    sure = asked.where(within_ring(F.col("x"), F.col("y"), F.col("ring")))
+    return met.where(F.col("kind") == _INSIDE).select("region", "point").unionByName(sure.select("region", "point"))

@@ -36,6 +36,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.near_pairs(nodes, 10.0)
 
 
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """(way, node): the current nodes within the ring of each current way that ends where it begins, of the nodes of it that have a place."""
+    nodes = proximity.usable_places(current_values(read(spark, d, "nodes"), ["x", "y", "visible"]).where("visible")).select("id", "x", "y")
+    ways = current_rows(read(spark, d, "ways"), ["nodes", "visible"]).where("visible")
+    closed = ways.where((F.size("nodes") > 3) & (F.element_at("nodes", 1) == F.element_at("nodes", -1)))
+    corners = closed.select(F.col("id").alias("way"), F.posexplode("nodes").alias("place", "id")).join(nodes, "id")
+    rings = corners.groupBy("way").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("ring"))
+    found = proximity.points_in_regions(nodes, rings.select(F.col("way").alias("id"), "ring"))
+    return found.select(F.col("region").alias("way"), F.col("point").alias("node"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The payloads are visited once; the flat tables are read from what that wrote, one folder a tag."""
     folder = fresh_folder(spark, "nested")
@@ -151,6 +162,17 @@ WHERE pow(sin(radians(b.y - a.y) / 2), 2)
   + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)
   <= pow(sin(10 / 6371008.8 / 2), 2)"""
 
+_P3_REGIONS = f"""
+WITH p AS (SELECT id, x, y FROM {current_sql("nodes", "id, x, y")} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND NOT (x = 0 AND y = 0)),
+closed AS (SELECT id, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS place FROM {current_sql("ways", "id, nodes")} WHERE len(nodes) > 3 AND nodes[1] = nodes[-1]),
+corners AS (SELECT c.id, c.place, p.x, p.y, count(*) OVER (PARTITION BY c.id) AS n FROM closed c JOIN p ON p.id = c.node),
+edges AS (SELECT id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM corners WHERE n > 2 WINDOW w AS (PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+boxes AS (SELECT id, min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM edges GROUP BY id),
+near AS (SELECT b.id AS way, p.id AS node, p.x, p.y FROM boxes b JOIN p ON p.y BETWEEN b.c AND b.d AND p.x BETWEEN b.a AND b.b)
+SELECT way, node FROM near JOIN edges e ON e.id = way
+GROUP BY way, node HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1"""
+
 _P5 = """
 WITH feed AS (
   SELECT 'node' AS feed, id, version, sequence, date FROM node_changeset
@@ -225,7 +247,7 @@ TYPES = {
 _OBJECTS = " UNION ALL ".join(f"SELECT '{o}' AS obj, id FROM {current_sql(t, 'id, tags')}" for o, t in (("node", "nodes"), ("way", "ways"), ("relation", "relations")))
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found, "p3_regions": p3_regions,
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide, "p7_entries": p7_entries,
 }
 ORACLES = {
@@ -234,6 +256,7 @@ ORACLES = {
     "p2_members": "SELECT id, version, sequence, place, upper(m.type) AS type, m.id AS ref, m.role AS role FROM (SELECT id, version, "
     "sequence, unnest(members) AS m, (generate_subscripts(members, 1) - 1)::INT AS place FROM relations) WHERE m IS NOT NULL",
     "p3_found": _P3,
+    "p3_regions": _P3_REGIONS,
     "p5_found": _P5,
     "p6_found": _P6,
     "p7_found": _P7,
