@@ -375,15 +375,32 @@ def brute_hierarchies(links):
 LINK = "parent bigint, child bigint, root int, component int, kind string"
 
 
-@pytest.mark.parametrize("seed, task_links", [(0, 200_000), (0, 0), (1, 3)])
-def test_hierarchies_against_brute_force(spark, seed, task_links):
+@pytest.mark.parametrize("seed, task_links, task_paths", [(0, 200_000, 1_000_000), (0, 0, 1), (1, 3, 1), (2, 200_000, 3)])
+def test_hierarchies_against_brute_force(spark, seed, task_links, task_paths):
     rng = random.Random(seed)
     links = [(rng.choice([None, *range(40)]), rng.choice([None, *range(40)])) for _ in range(36)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 201), (201, 200), (200, 201), (300, 300)]
     df = spark.createDataFrame([(p, c, 0, 0, "") for p, c in links], LINK).repartition(5)
-    got = rows(forest.hierarchies(df, task_links), "kind", "id", "root", "depth", "path")
+    got = rows(forest.hierarchies(df, task_links, task_paths), "kind", "id", "root", "depth", "path")
     assert got == brute_hierarchies(links)
 
 
+def test_a_component_with_many_paths_is_split(spark):
+    """Eight layers of three, all linked to the next: 3 + 9 + ... paths, of which a task gives a thousand."""
+    links = [(3 * k + i, 3 * k + 3 + j) for k in range(7) for i in range(3) for j in range(3)]
+    got = forest.hierarchies(spark.createDataFrame([(p, c, 0, 0, "") for p, c in links], LINK), task_paths=1000).cache()
+    assert got.count() == got.distinct().count() == sum(3**k for k in range(1, 9)) and got.where("depth != size(split(path, '/'))").count() == 0
+    whole = forest.Component([p for p, _ in links], [c for _, c in links], [c // 3 for _, c in links], False)
+    parts = [list(whole.rows((k, 5))) for k in range(5)]
+    assert sorted(r for p in parts for r in p) == sorted(whole.rows((0, 1))) and max(map(len, parts)) < 6000
+
+
+def test_merging_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MERGE_LINKS", 10)
+    star = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 400)]
+    got = forest.components(spark.createDataFrame(star, "parent bigint, child bigint").repartition(20))
+    assert got.count() == 301 and rows(got.groupBy("component").agg(F.count("vertex").alias("n"), F.max("offset").alias("o"), F.min("offset").alias("u")).selectExpr("n", "o - u AS depth"), "n", "depth") == [(101, 100), (200, 1)]
+
+
 def test_hierarchies_of_nothing(spark):
     df = spark.createDataFrame([(1, 1, 0, 0, ""), (None, 2, 0, 0, "")], LINK)
     assert forest.hierarchies(df).count() == 0

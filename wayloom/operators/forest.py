@@ -3,13 +3,17 @@
 Weighted disjoint sets find the weakly connected components: each partition joins its own links,
 every vertex with its offset (depth) from the root of its set; sets of different partitions that
 share a vertex become links of the next, smaller round, until none is left. A component whose
-offsets agree on every link has no cycle. Within a component, paths are materialised by walking
-an index of its links; components too large for a task are walked level by level by joins.
+offsets agree on every link has no cycle, and the depth of a vertex below a root is the difference of
+their offsets. There, paths are materialised by going up an index of parents from every vertex; where
+offsets contradict each other, by going down from the roots, as ways up may end in a cycle. Components
+with many paths are split by the beginnings of their paths; components too large for a task are walked
+level by level by joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +25,12 @@ from wayloom.session import cut
 
 #: Links of a component that one task walks. It changes where a component is walked, not the result.
 TASK_LINKS = 200_000
+#: Paths of a component that one task gives; components with more are split.
+TASK_PATHS = 1_000_000
+#: Vertices at the beginning of a path that decide which task of a split component goes on with it.
+PREFIX = 3
+#: Tasks that a component is split into at most, and where the number of its paths is not known.
+MOST_SPLITS, SPLITS = 4_096, 256
 #: Links that one task joins in the merging rounds.
 MERGE_LINKS = 500_000
 FOUND = "kind string, id bigint, root bigint, depth int, path string"
@@ -85,8 +95,9 @@ def components(links: DataFrame) -> DataFrame:
     """(vertex, component, offset, broken) for links (parent, child).
 
     offset is the depth from the component's root vertex; broken: some link contradicts the offsets.
-    Each round's vertices and sets are cut into tasks of MERGE_LINKS links; roots are chosen by a
-    hash that changes with the round, so that chains shrink by a constant factor however long they are.
+    The first round's tasks are those of the links as they come; later rounds have tasks of MERGE_LINKS
+    links, and a set with more of them than that is spread over several. Roots are chosen by a hash that
+    changes with the round, so that chains shrink by a constant factor however long they are.
     """
     edges = links.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1).cast("long").alias("weight"))
     levels, n = [], 0
@@ -110,7 +121,13 @@ def components(links: DataFrame) -> DataFrame:
             broken = edges.select(F.col("a").alias("root")).distinct().withColumn("broken", F.lit(True))
             break
         n += 1
-        edges = edges.repartition(max(1, -(-real // MERGE_LINKS)), "a")
+        tasks = max(1, -(-real // MERGE_LINKS))
+        if tasks == 1:
+            edges = edges.coalesce(1)
+        else:
+            hot = edges.groupBy("a").count().where(F.col("count") > MERGE_LINKS).select("a", F.ceil(F.col("count") / MERGE_LINKS).alias("parts"))
+            part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+            edges = edges.join(hot, "a", "left").withColumn("part", part).repartition(tasks, "a", "part").select("a", "b", "weight")
     out = levels[0]
     for level in levels[1:]:
         up = level.select(F.col("vertex").alias("root"), F.col("root").alias("next"), F.col("offset").alias("more"))
@@ -158,44 +175,87 @@ def strong_sets(children: dict[int, list[int]]) -> Iterator[list[int]]:
                         yield group
 
 
-def _walk(parents: list[int], kids: list[int], broken: bool) -> Iterator[tuple[str, int, int, int, str]]:
-    """Cycle and path rows of one component."""
-    children: dict[int, list[int]] = {}
-    for p, c in zip(parents, kids):
-        children.setdefault(p, []).append(c)
-    if broken:
-        for group in strong_sets(children):
-            least = min(group)
-            for v in group:
-                yield "cycle", v, least, 0, ""
-    for root in children.keys() - set(kids):
-        path, seen, work = [root], {root}, [iter(children[root])]
-        yield "path", root, root, 1, str(root)
+def _trails(starts, onward: dict[int, list[int]], split: tuple[int, int] = (0, 1)) -> Iterator[list[int]]:
+    """Every trail from the starts that visits no vertex twice. split (k, n): those of the k-th of n tasks, by their first vertices.
+
+    The same list is yielded again and again, so that a trail is to be used before the next one is asked for.
+    """
+    own, tasks = split
+    mine = lambda path: tasks == 1 or xxhash.xxh64_intdigest(repr(path[:PREFIX]).encode()) % tasks == own
+    for start in starts:
+        path, seen, work = [start], {start}, [iter(onward.get(start, ()))]
+        if mine(path):
+            yield path
         while work:
-            for c in work[-1]:
-                if c in seen:
+            for v in work[-1]:
+                if v in seen:
                     continue
-                path.append(c)
-                seen.add(c)
-                yield "path", c, root, len(path), "/".join(map(str, path))
-                work.append(iter(children.get(c, ())))
+                path.append(v)
+                if len(path) <= PREFIX and not mine(path):
+                    if len(path) == PREFIX:
+                        path.pop()
+                        continue
+                else:
+                    yield path
+                seen.add(v)
+                work.append(iter(onward.get(v, ())))
                 break
             else:
                 work.pop()
                 seen.discard(path.pop())
 
 
-def _walk_components(links: DataFrame) -> DataFrame:
-    """Rows of components that fit a task: links (component, broken, parent, child), bucketed and sorted by component."""
+class Component:
+    """The links of one component: its indexes of parents and of children, and offsets where they agree."""
+
+    def __init__(self, parents: list[int], kids: list[int], offsets: list[int], broken: bool):
+        self.broken, self.children, self.parents = broken, {}, {}
+        self.offset: dict[int, int] = {}
+        for p, c, o in zip(parents, kids, offsets):
+            self.children.setdefault(p, []).append(c)
+            self.parents.setdefault(c, []).append(p)
+            self.offset[c] = o
+            self.offset.setdefault(p, o - 1)
+        self.roots = [v for v in self.children if v not in self.parents]
+
+    def splits(self, task_paths: int) -> int:
+        """Into how many tasks the component is to be split, if one gives task_paths paths."""
+        if self.broken:  # simple paths are not counted but by walking them
+            return SPLITS if next(islice(_trails(self.roots, self.children), task_paths, None), None) else 1
+        paths: dict[int, int] = {}
+        for v in sorted(self.offset, key=self.offset.get):  # parents come first
+            paths[v] = sum(paths[p] for p in self.parents.get(v, ())) or 1
+        return min(MOST_SPLITS, -(-sum(paths.values()) // task_paths))
+
+    def rows(self, split: tuple[int, int]) -> Iterator[tuple[str, int, int, int, str]]:
+        """Cycle and path rows."""
+        if self.broken:
+            if not split[0]:
+                for group in strong_sets(self.children):
+                    least = min(group)
+                    for v in group:
+                        yield "cycle", v, least, 0, ""
+            for path in _trails(self.roots, self.children, split):
+                yield "path", path[-1], path[0], len(path), "/".join(map(str, path))
+            return
+        for path in _trails(self.offset, self.parents, split):
+            v, root = path[0], path[-1]
+            if root not in self.parents:
+                yield "path", v, root, self.offset[v] - self.offset[root] + 1, "/".join(map(str, reversed(path)))
+
+
+def _by_component(links: DataFrame, give, columns: list[str], schema: str) -> DataFrame:
+    """What give yields for each component and split; links: (component, broken, parent, child, offset, split, splits)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        columns = ["kind", "id", "root", "depth", "path"]
         held: pd.DataFrame | None = None
 
         def done(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
             nonlocal out
-            for row in _walk(group["parent"].tolist(), group["child"].tolist(), bool(group["broken"].iloc[0])):
+            first = group.iloc[0]
+            one = Component(group["parent"].tolist(), group["child"].tolist(), group["offset"].tolist(), bool(first["broken"]))
+            for row in give(one, int(first["component"]), (int(first["split"]), int(first["splits"]))):
                 out.append(row)
                 if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=columns)
@@ -206,8 +266,8 @@ def _walk_components(links: DataFrame) -> DataFrame:
                 part = pd.concat([held, part], ignore_index=True)
             if not len(part):
                 continue
-            ids = part["component"].to_numpy()
-            borders = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            ids, split = part["component"].to_numpy(), part["split"].to_numpy()
+            borders = np.flatnonzero((ids[1:] != ids[:-1]) | (split[1:] != split[:-1])) + 1
             for a, b in zip(np.r_[0, borders[:-1]] if len(borders) else [], borders):
                 yield from done(part.iloc[a:b])
             held = part.iloc[borders[-1] if len(borders) else 0 :]
@@ -216,7 +276,25 @@ def _walk_components(links: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return links.repartition("component").sortWithinPartitions("component").mapInPandas(run, FOUND)
+    return links.repartition("component", "split").sortWithinPartitions("component", "split").mapInPandas(run, schema)
+
+
+def _walk_components(links: DataFrame, task_paths: int) -> DataFrame:
+    """Rows of components that fit a task: links (component, broken, parent, child, offset)."""
+
+    def split_of(one: Component, component: int, _: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        if (n := one.splits(task_paths)) > 1:
+            yield component, n
+
+    def rows_of(one: Component, _: int, split: tuple[int, int]) -> Iterator[tuple]:
+        return one.rows(split)
+
+    whole = links.withColumn("split", F.lit(0)).withColumn("splits", F.lit(1))
+    many = cut(_by_component(whole, split_of, ["component", "n"], "component bigint, n int"))
+    if not many.isEmpty():
+        n = F.coalesce("n", F.lit(1))
+        whole = links.join(many, "component", "left").withColumn("splits", n).withColumn("split", F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
+    return _by_component(whole, rows_of, ["kind", "id", "root", "depth", "path"], FOUND)
 
 
 def _paths_by_joins(links: DataFrame) -> DataFrame:
@@ -291,7 +369,7 @@ def _cycles_by_joins(links: DataFrame) -> DataFrame:
     )
 
 
-def hierarchies(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def hierarchies(links: DataFrame, task_links: int = TASK_LINKS, task_paths: int = TASK_PATHS) -> DataFrame:
     """(kind, id, root, depth, path) for links (parent, child).
 
     kind path: for each vertex with children and no parent, every path from it that visits no vertex
@@ -301,10 +379,10 @@ def hierarchies(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """
     links = cut(links.where("parent IS NOT NULL AND child IS NOT NULL AND parent != child").select("parent", "child").distinct())
     comp = components(links)
-    placed = links.join(comp.select(F.col("vertex").alias("child"), "component", "broken"), "child")
+    placed = links.join(comp.select(F.col("vertex").alias("child"), "component", "offset", "broken"), "child")
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("links"))
-    placed = cut(placed.join(size, "component").select("component", "broken", "parent", "child", "links"))
-    out = _walk_components(placed.where(F.col("links") <= task_links).drop("links"))
+    placed = cut(placed.join(size, "component").select("component", "broken", "parent", "child", "offset", "links"))
+    out = _walk_components(placed.where(F.col("links") <= task_links).drop("links"), task_paths)
     large = placed.where(F.col("links") > task_links)
     if not large.isEmpty():
         out = out.unionByName(_paths_by_joins(large.select("parent", "child"))).unionByName(
