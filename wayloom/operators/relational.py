@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.model import ADD, DELETE, MODIFY, Source
+from wayloom.session import cut
 
 
 def comparable(df: DataFrame, name: str) -> Column:
@@ -84,9 +85,12 @@ def difference(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = N
 
 
 def refreshed(old: DataFrame, fresh: DataFrame, affected: DataFrame, columns: Sequence[str] | None = None) -> Source:
-    """The table and its changes after the affected ids were computed anew; rows that stay the same are no changes."""
-    before = old.join(affected.select("id").distinct(), "id", "left_semi")
-    change = difference(before, fresh, columns)
+    """The table and its changes after the affected ids were computed anew; rows that stay the same are no changes.
+
+    What was computed anew and the changes are written once, as table, changes and new rows all come from them.
+    """
+    before, fresh = old.join(affected.select("id").distinct(), "id", "left_semi"), cut(fresh)
+    change = cut(difference(before, fresh, columns))
     touched = change.select("id")
     put = fresh.join(change.where(F.col("action") != DELETE).select("id"), "id", "left_semi")
     put = put.select(*old.columns)

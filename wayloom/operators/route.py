@@ -31,7 +31,8 @@ def stitch(order: list, pieces: dict[object, Parts]) -> Parts:
     A piece is welded to the end of the route, turned if need be. If it does not meet the end, but
     the beginning of the route's last part that nothing has been welded to, that part is turned.
     Otherwise it becomes a part of its own, turned so that the gap is least; as the second piece, it
-    may also turn the first. A piece that was turned for a gap stays turned where it comes again.
+    may also turn the first. Of equal gaps, the one for which less is turned counts, the route before
+    the piece. A piece that was turned for a gap stays turned where it comes again.
     """
     route: Parts = []
     loose: int | None = None
@@ -57,16 +58,11 @@ def stitch(order: list, pieces: dict[object, Parts]) -> Parts:
                 break
         if welded:
             continue
-        end = route[-1][-1]
-        gap = min(_gap(end, piece[0][0]), _gap(end, piece[-1][-1]))
-        if _gap(end, piece[-1][-1]) < _gap(end, piece[0][0]):
-            piece = _turned(piece)
-        if loose == 0:
-            near, far = _gap(route[0][0], piece[0][0]), _gap(route[0][0], piece[-1][-1])
-            if min(near, far) < gap:
-                route = _turned(route)
-                if far < near:
-                    piece = _turned(piece)
+        tips, heads = (route[-1][-1], route[0][0]), (piece[0][0], piece[-1][-1])
+        turns = [(r, p) for r in ((0, 1) if loose == 0 else (0,)) for p in (0, 1)]
+        turn_route, turn_piece = min(turns, key=lambda t: _gap(tips[t[0]], heads[t[1]]))
+        route = _turned(route) if turn_route else route
+        piece = _turned(piece) if turn_piece else piece
         pieces[key] = piece
         loose = len(route)
         route += [list(line) for line in piece]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayloom.functions.geo import nudged, to_mercator
 from wayloom.model import Source
 from wayloom.operators.relational import changed, holding, members, refreshed
+from wayloom.session import cut
 
 
 def with_lines(ways: DataFrame, locations: DataFrame, mercator: bool = False) -> DataFrame:
@@ -61,7 +62,7 @@ class PlainWayTable:
         return self._build(self.ways.data)
 
     def update(self, old: DataFrame) -> Source:
-        affected = changed(self.ways).unionByName(_moved(self.ways.data, self.nodes)).distinct()
+        affected = cut(changed(self.ways).unionByName(_moved(self.ways.data, self.nodes)).distinct())
         return refreshed(old, self._build(self.ways.data.join(affected, "id", "left_semi")), affected)
 
 
@@ -99,6 +100,6 @@ class RelationWayTable:
         affected = changed(self.ways).unionByName(now).unionByName(holding(old, "rels", rels))
         if self.nodes is not None:
             affected = affected.unionByName(_moved(self.ways.data, self.nodes))
-        affected = affected.distinct()
+        affected = cut(affected.distinct())
         ways = self.ways.data.join(affected, "id", "left_semi")
         return refreshed(old, self._build(ways, links.join(affected.withColumnRenamed("id", "member"), "member", "left_semi")), affected)

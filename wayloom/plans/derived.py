@@ -15,7 +15,7 @@ from wayloom.operators.increment import latest_marks
 from wayloom.operators.orphans import parent_codes
 from wayloom.operators.route import nested_route_lines
 from wayloom.operators.segments import SegmentsTable, intersections
-from wayloom.operators.tiling import plan_tiles
+from wayloom.operators.tiling import find_tiles, plan_tiles
 from wayloom.operators.transformed import TransformedTable
 from wayloom.operators.ways import PlainWayTable, RelationWayTable
 from wayloom.plans.pipelines import current_sql
@@ -137,6 +137,17 @@ def relation_ways_update(spark, d):
     return text(_relation_ways(spark, d, change=True).update(old).data.select("id", "nodes", "rels"))
 
 
+def relation_ways_changes(spark, d):
+    """The changes that an update reports."""
+    return _relation_ways(spark, d, change=True).update(_relation_ways(spark, d, BEFORE).construct()).change
+
+
+def hierarchy_update(spark, d):
+    """The changes (parent, child, action) of an update."""
+    old = RelationHierarchy(Source(now(spark, d, "relations", BEFORE))).construct()
+    return RelationHierarchy(Source(now(spark, d, "relations"), batch(spark, d, "relations"))).update(old).change
+
+
 def hierarchy(spark, d):
     return RelationHierarchy(Source(now(spark, d, "relations"))).construct()
 
@@ -154,6 +165,14 @@ def grouped_ways(spark, d):
     return GroupedWayTable(Source(_kind(now(spark, d, "ways"))), ["highway"]).construct()
 
 
+def grouped_ways_update(spark, d):
+    """The groups after an update, each under its least member, as the ids depend on what was before."""
+    old = GroupedWayTable(Source(_kind(now(spark, d, "ways", BEFORE))), ["highway"]).construct()
+    new = GroupedWayTable(Source(_kind(now(spark, d, "ways")), batch(spark, d, "ways")), ["highway"]).update(old).data
+    least = new.groupBy("id").agg(F.min("child").alias("least"))
+    return new.join(least, "id").select(F.col("least").alias("id"), "child")
+
+
 def segments_intersections(spark, d):
     ways = now(spark, d, "ways").withColumn("nodes", F.array_compact("nodes")).where(F.size("nodes") > 1)
     return intersections(ways)
@@ -164,6 +183,13 @@ def segments(spark, d):
     return text(SegmentsTable(Source(_kind(now(spark, d, "ways"))), ["highway"]).construct().select("highway", "nodes", "ways"))
 
 
+def segments_update(spark, d):
+    """As segments_lengths, of the table after an update."""
+    old = cut(SegmentsTable(Source(_kind(now(spark, d, "ways", BEFORE))), ["highway"]).construct())
+    table = SegmentsTable(Source(_kind(now(spark, d, "ways")), batch(spark, d, "ways")), ["highway"]).update(old).data
+    return table.groupBy("highway").agg(F.sum(F.size("nodes") - 1).alias("stretches"))
+
+
 def segments_lengths(spark, d):
     """What cutting and joining leave as it was: the stretches between neighbouring nodes, by property."""
     table = SegmentsTable(Source(_kind(now(spark, d, "ways"))), ["highway"]).construct()
@@ -230,16 +256,27 @@ def tile_numbers(spark, d):
 
 def tile_plan(spark, d):
     """The tiles of all lines that the batch changed, through the way or through its nodes: where they were and where they are."""
-
-    def lines(before: int | None) -> DataFrame:
-        table = _plain(spark, d, before)
-        table.mercator = True
-        return cut(table.construct())
-
-    old, new = lines(BEFORE), lines(None)
-    change = cut(rel.difference(old, new))
-    both = old.unionByName(new).join(change, "id", "left_semi").select("geom").distinct()
-    return plan_tiles(new, both, 0, 8, 5)
+    before, after = _plain(spark, d, BEFORE), _plain(spark, d, change=True)
+    before.mercator = after.mercator = True
+    old = cut(before.construct())
+    new = after.update(old)
+    change, put = new.change, cut(new.rows)
+    data = old.join(change, "id", "left_anti").unionByName(put)
+    both = old.join(change, "id", "left_semi").unionByName(put).select("geom").distinct()
+    return plan_tiles(data, both, 0, 8, 5)
+
+
+def tile_lookup(spark, d):
+    """For each current node, the tile at zoom 10 to the right of its own, asked of a store of all nodes' tiles down to zoom 8, with pictures down to zoom 5."""
+    nodes = located(now(spark, d, "nodes")).select("id", geo.mercator_x(F.col("x")).alias("mx"), geo.mercator_y(F.col("y")).alias("my"))
+    at = lambda z: (tiles.tile_column(F.col("mx"), z), tiles.tile_row(F.col("my"), z))
+    zooms = nodes.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    store = zooms.select("zoom", tiles.tile_id(F.col("zoom"), *at(F.col("zoom"))).alias("id")).distinct()
+    store = store.select("id", F.when(F.col("zoom") <= 5, F.col("id").cast("string")).alias("pixbuf"))
+    x, y = at(F.lit(10))
+    asked = nodes.select("id", F.lit(10).alias("zoom"), F.pmod(x + 1, F.lit(1024)).alias("x"), y.alias("y"))
+    asked = asked.unionByName(nodes.select("id", F.lit(5).alias("zoom"), *(c.alias(n) for c, n in zip(at(F.lit(5)), "xy"))))
+    return find_tiles(store, asked, 8)
 
 
 def node_ewkb(spark, d):
@@ -293,16 +330,35 @@ def _named(rows: str) -> str:
 def _lines_sql(ways: str, nodes: str) -> str:
     """Places of each way's nodes in order; the nudge of equal neighbours is far below the rounding."""
     return (
-        f"(SELECT w.id, w.n, list({{'x': p.x, 'y': p.y}} ORDER BY w.place) AS geom FROM (SELECT id, len(nodes) AS n, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS place FROM {ways}) w "
+        f"(SELECT w.id, w.n, any_value(w.nodes) AS nodes, list({{'x': p.x, 'y': p.y}} ORDER BY w.place) AS geom FROM (SELECT id, nodes, len(nodes) AS n, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS place FROM {ways}) w "
         f"JOIN (SELECT * FROM {nodes} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -85 AND 85 AND NOT (x = 0 AND y = 0)) p ON p.id = w.node GROUP BY w.id, w.n HAVING count(*) > 1)"
     )
 
 
 _ENDS = "len(geom)::INT AS points, " + ", ".join(f"floor(geom[{i}].{c} * 1e7 + 0.5)::BIGINT AS {n}_{c}" for n, i in (("first", 1), ("last", -1)) for c in "xy")
 _WAYS, _NODES, _RELS = current_sql("ways", "id, tags, nodes"), current_sql("nodes", "id, tags, x, y"), current_sql("relations", "id, tags, members")
-_RELWAYS = f"""(SELECT way, list_sort(list(DISTINCT rel)) AS rels FROM (SELECT id AS rel, m.id AS way FROM (SELECT id, unnest(members) AS m FROM {_RELS})
+_OLD_WAYS, _OLD_NODES, _OLD_RELS = _was("ways", "id, tags, nodes"), _was("nodes", "id, tags, x, y"), _was("relations", "id, tags, members")
+
+
+def _relways(rels: str) -> str:
+    """Each way with the sorted ids of the relations that hold it."""
+    return f"""(SELECT way, list_sort(list(DISTINCT rel)) AS rels FROM (SELECT id AS rel, m.id AS way FROM (SELECT id, unnest(members) AS m FROM {rels})
   WHERE upper(m.type) = 'W' AND m.id IS NOT NULL) GROUP BY way)"""
-_RLINKS = f"(SELECT DISTINCT id AS p, m.id AS c FROM (SELECT id, unnest(members) AS m FROM {_RELS}) WHERE upper(m.type) = 'R' AND m.id IS NOT NULL AND m.id <> id)"
+
+
+def _rlinks(rels: str) -> str:
+    return f"(SELECT DISTINCT id AS p, m.id AS c FROM (SELECT id, unnest(members) AS m FROM {rels}) WHERE upper(m.type) = 'R' AND m.id IS NOT NULL AND m.id <> id)"
+
+
+def _levels_sql(links: str, most: int) -> str:
+    """(parent, child, depth) of all pairs, at their least depth."""
+    return (
+        f"(WITH RECURSIVE l AS {links}, walk AS (SELECT p, c, 2 AS depth FROM l UNION SELECT w.p, l.c, w.depth + 1 FROM walk w JOIN l ON l.p = w.c WHERE w.depth < {most}) "
+        "SELECT p AS parent, c AS child, min(depth)::INT AS depth FROM walk WHERE p <> c GROUP BY p, c)"
+    )
+
+
+_RELWAYS, _RLINKS = _relways(_RELS), _rlinks(_RELS)
 
 
 def _tag(key: str) -> str:
@@ -329,13 +385,84 @@ _TY = f"greatest(0, least({_N12 - 1}, floor((20037508.34 - {_MY}) / 40075016.68
 _WIDTH = "(40075016.68 / 4096)"
 _KIND = f"(SELECT id, nodes, {_tag('highway')} AS highway FROM {_WAYS})"
 
+_OLD_LINES, _NEW_LINES = _lines_sql(_OLD_WAYS, _OLD_NODES), _lines_sql(_WAYS, _NODES)
+_OLD_RELATION_WAYS, _NEW_RELATION_WAYS = (
+    f"(SELECT w.id, w.nodes, r.rels FROM {w} w JOIN {_relways(r)} r ON r.way = w.id)" for w, r in ((_OLD_WAYS, _OLD_RELS), (_WAYS, _RELS))
+)
+_UNIT = "CASE lower(regexp_extract(w, p, 3)) WHEN '' THEN 1.0 WHEN 'm' THEN 1.0 WHEN 'km' THEN 1000.0 WHEN 'mi' THEN 1609.3 WHEN 'ft' THEN 0.3048 WHEN chr(39) THEN 0.3048 END"
+
+
+def _tiles_sql(lines: str) -> str:
+    """Distinct tiles from zoom 0 to 8 that lines cross: a stretch is clipped at the sides of each tile of its box at zoom 8."""
+    n, w, half = 256, "(40075016.68 / 256)", "20037508.34"
+    column = lambda v: f"greatest(0, least({n - 1}, floor(({v} + {half}) / 40075016.68 * {n})))::BIGINT"
+    row = lambda v: f"greatest(0, least({n - 1}, floor(({half} - {v}) / 40075016.68 * {n})))::BIGINT"
+
+    def side(p: str, d: str, lo: str, hi: str) -> tuple[str, str]:
+        begin = f"CASE WHEN {d} <> 0 THEN least(({lo} - {p}) / {d}, ({hi} - {p}) / {d}) WHEN {p} BETWEEN {lo} AND {hi} THEN 0 ELSE 2 END"
+        end = f"CASE WHEN {d} <> 0 THEN greatest(({lo} - {p}) / {d}, ({hi} - {p}) / {d}) WHEN {p} BETWEEN {lo} AND {hi} THEN 1 ELSE -1 END"
+        return begin, end
+
+    fx, tx = side("ax", "(bx - ax)", f"(x * {w} - {half})", f"((x + 1) * {w} - {half})")
+    fy, ty = side("ay", "(b_y - ay)", f"({half} - (y + 1) * {w})", f"({half} - y * {w})")
+    points = f"SELECT g[i].x AS x, g[i].y AS y, g[i + 1].x AS u, g[i + 1].y AS v FROM (SELECT geom AS g, unnest(range(1, len(geom))) AS i FROM {lines})"
+    projected = f"SELECT {_MX} AS ax, {_MY} AS ay, {_MX.replace('x)', 'u)')} AS bx, {_MY.replace('(y)', '(v)')} AS b_y FROM ({points})"
+    wide = f"SELECT *, unnest(range(least({column('ax')}, {column('bx')}), greatest({column('ax')}, {column('bx')}) + 1)) AS x FROM ({projected})"
+    boxes = f"SELECT *, unnest(range(least({row('ay')}, {row('b_y')}), greatest({row('ay')}, {row('b_y')}) + 1)) AS y FROM ({wide})"
+    hit = f"SELECT DISTINCT x, y FROM ({boxes}) WHERE greatest(0, {fx}, {fy}) <= least(1, {tx}, {ty})"
+    return f"(SELECT DISTINCT (8 - up)::INT AS zoom, x >> up AS x, y >> up AS y FROM (SELECT x, y, unnest(range(0, 9)) AS up FROM ({hit})))"
+
+
+_CHANGED = f"(SELECT id FROM ({_change_sql(_OLD_LINES, _NEW_LINES, "{'n': nodes, 'g': geom}")}))"
+_TILE_PLAN = f"""
+WITH old AS {_OLD_LINES}, new AS {_NEW_LINES}, changed AS {_CHANGED},
+touched AS {_tiles_sql("(SELECT geom FROM old WHERE id IN (SELECT id FROM changed) UNION ALL SELECT geom FROM new WHERE id IN (SELECT id FROM changed))")},
+full_ AS {_tiles_sql("new")}
+SELECT zoom + (x << 5) + (y << (zoom + 5)) AS id, zoom, x, y, CASE WHEN f.zoom IS NULL THEN 'delete' WHEN t.zoom <= 5 THEN 'render' ELSE 'reserve' END AS task
+FROM touched t LEFT JOIN (SELECT zoom, x, y FROM full_) f USING (zoom, x, y)""".replace("f.zoom IS NULL", "f.x IS NULL")
+
+
+def _cell(zoom: str, column: bool) -> str:
+    n = f"pow(2, {zoom})"
+    part = f"({_MX} + 20037508.34)" if column else f"(20037508.34 - {_MY})"
+    return f"greatest(0, least({n} - 1, floor({part} / 40075016.68 * {n})))::BIGINT"
+
+
+_TILE_LOOKUP = f"""
+WITH n AS (SELECT id, x, y FROM {_NODES} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -85 AND 85 AND NOT (x = 0 AND y = 0)),
+store AS (SELECT DISTINCT z AS zoom, {_cell("z", True)} AS tx, {_cell("z", False)} AS ty FROM (SELECT *, unnest(range(0, 9)) AS z FROM n)),
+asked AS (SELECT id, 10 AS zoom, ({_cell("10", True)} + 1) % 1024 AS tx, {_cell("10", False)} AS ty FROM n UNION ALL SELECT id, 5, {_cell("5", True)}, {_cell("5", False)} FROM n)
+SELECT a.id, a.zoom, a.tx AS x, a.ty AS y, CASE WHEN s.zoom IS NULL THEN 'empty' WHEN a.zoom <= 5 THEN 'stored' ELSE 'render' END AS state,
+  CASE WHEN a.zoom <= 5 AND s.zoom IS NOT NULL THEN (a.zoom + (a.tx << 5) + (a.ty << (a.zoom + 5)))::VARCHAR END AS pixbuf
+FROM asked a LEFT JOIN store s ON s.zoom = least(a.zoom, 8) AND s.tx = a.tx >> greatest(0, a.zoom - 8) AND s.ty = a.ty >> greatest(0, a.zoom - 8)"""
+
+
+def _merged(key: str, made: str) -> str:
+    """The value of a key: the object's own, where it has the key, else that of the region in which its id ends."""
+    return f"CASE WHEN list_contains(map_keys(tags), '{key}') THEN tags['{key}'] WHEN r_name IS NOT NULL THEN {made} END"
+
+
+_ALL_TAGS = " UNION ALL ".join(f"SELECT '{o}' AS obj, id, tags FROM {t}" for o, t in (("node", _NODES), ("way", _WAYS), ("relation", _RELS)))
+_LINK_TAGS = f"""SELECT obj, id, {_merged("name", "r_name")} AS name, {_merged("name:de", "'de ' || r_name")} AS de, {_merged("name:fr", "'fr ' || r_name")} AS fr,
+  {_merged("wikipedia", "'de:' || r_name || ' x*y'")} AS wiki, {_merged("url", "NULL")} AS u, {_merged("website", "'http://a.b/' || chr(39) || r_name")} AS site
+  FROM ({_ALL_TAGS}) LEFT JOIN region ON r_regionkey = id % 10"""
+_QUOTED = "replace(url_encode({}), '%2F', '/')"
+_TAG_LINKS_ALL = f"""
+WITH t AS ({_LINK_TAGS}), c AS (SELECT *, position(':' IN wiki) AS colon, replace(replace(coalesce(u, site), '"', '%22'), chr(39), '%27') AS raw FROM t),
+l AS (SELECT *, CASE WHEN colon > 0 THEN left(wiki, colon - 1) END AS lang, substr(wiki, colon + 1) AS title_ FROM c)
+SELECT obj, id, coalesce(fr, de, name) AS name,
+  CASE WHEN colon = 0 THEN 'https://en.wikipedia.org/wiki/' || {_QUOTED.format("wiki")}
+    WHEN colon > 0 AND len(lang) IN (2, 3) THEN 'https://' || lang || '.wikipedia.org/wiki/' || {_QUOTED.format("title_")} END AS page,
+  CASE WHEN colon > 0 AND lang = 'de' THEN title_ END AS title,
+  CASE WHEN lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*)://[^/?#]+', 1)) IN ('http', 'https') THEN raw END AS url FROM l"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         filtered_full, filtered_update, filtered_view_change, transformed, transformed_update, plain_way_geom, plain_way_update, plain_way_mercator,
         relation_ways, relation_ways_geom, relation_ways_update, hierarchy, hierarchy_closure, grouped_ways, segments_intersections, segments,
         segments_lengths, route_geometry, tag_functions, tag_links, tag_links_all, tile_numbers, tile_plan, node_ewkb, change_diff, apply_upsert,
-        status_min_sequence, feed_actions, parents_seen,
+        status_min_sequence, feed_actions, parents_seen, relation_ways_changes, hierarchy_update, grouped_ways_update, segments_update, tile_lookup,
     )
 }
 ORACLES = {
@@ -350,10 +477,19 @@ ORACLES = {
     "relation_ways": f"SELECT w.id, array_to_string(w.nodes, ',') AS nodes, array_to_string(r.rels, ',') AS rels FROM {_WAYS} w JOIN {_RELWAYS} r ON r.way = w.id",
     "relation_ways_geom": f"SELECT w.id, array_to_string(r.rels, ',') AS rels, {_ENDS} FROM {_lines_sql(_WAYS, _NODES)} w JOIN {_RELWAYS} r ON r.way = w.id",
     "relation_ways_update": f"SELECT w.id, array_to_string(w.nodes, ',') AS nodes, array_to_string(r.rels, ',') AS rels FROM {_WAYS} w JOIN {_RELWAYS} r ON r.way = w.id",
-    "hierarchy": f"""WITH RECURSIVE l AS {_RLINKS}, walk AS (SELECT p, c, 2 AS depth FROM l UNION SELECT w.p, l.c, w.depth + 1 FROM walk w JOIN l ON l.p = w.c WHERE w.depth < 5)
-      SELECT p AS parent, c AS child, min(depth)::INT AS depth FROM walk WHERE p <> c GROUP BY p, c""",
-    "hierarchy_closure": f"""WITH RECURSIVE l AS {_RLINKS}, walk AS (SELECT p, c, 2 AS depth FROM l UNION SELECT w.p, l.c, w.depth + 1 FROM walk w JOIN l ON l.p = w.c WHERE w.depth < 60)
-      SELECT p AS parent, c AS child, min(depth)::INT AS depth FROM walk WHERE p <> c GROUP BY p, c""",
+    "hierarchy": f"SELECT * FROM {_levels_sql(_RLINKS, 5)}",
+    "hierarchy_closure": f"SELECT * FROM {_levels_sql(_RLINKS, 60)}",
+    "hierarchy_update": f"""SELECT coalesce(o.parent, n.parent) AS parent, coalesce(o.child, n.child) AS child, CASE WHEN o.parent IS NULL THEN 'A' WHEN n.parent IS NULL THEN 'D' ELSE 'M' END AS action
+      FROM {_levels_sql(_rlinks(_OLD_RELS), 5)} o FULL JOIN {_levels_sql(_RLINKS, 5)} n ON o.parent = n.parent AND o.child = n.child WHERE o.depth IS DISTINCT FROM n.depth""",
+    "plain_way_update": _change_sql(_OLD_LINES, _NEW_LINES, "{'n': nodes, 'g': geom}"),
+    "relation_ways_changes": _change_sql(_OLD_RELATION_WAYS, _NEW_RELATION_WAYS, "{'n': nodes, 'r': rels}"),
+    "tag_functions": f"""SELECT id, coalesce({_tag('highway')}, {_tag('name')}, 'none') AS first,
+      CASE WHEN regexp_matches(w, p) THEN try_cast(regexp_extract(w, p, 1) || '.' || CASE regexp_extract(w, p, 2) WHEN '' THEN '0' ELSE regexp_extract(w, p, 2) END AS DOUBLE) * {_UNIT} END AS width,
+      len([e FOR e IN map_entries(tags) IF lower(e.value) IN ('yes', 'true', 'no', 'false')])::INT AS booleans, len([k FOR k IN map_keys(tags) IF starts_with(k, 'name')])::INT AS named
+      FROM (SELECT *, coalesce({_tag('width')}, {_tag('distance')}) AS w, '^\\s*(\\d+)(?:[.,](\\d+))?\\s*([a-zA-Z' || chr(39) || ']*)' AS p FROM {_WAYS})""",
+    "tag_links_all": _TAG_LINKS_ALL,
+    "tile_plan": _TILE_PLAN,
+    "tile_lookup": _TILE_LOOKUP,
     "grouped_ways": f"""WITH RECURSIVE w AS (SELECT DISTINCT id, highway, node FROM (SELECT id, highway, unnest(nodes) AS node FROM {_KIND}) WHERE node IS NOT NULL),
       e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM w a JOIN w b ON a.node = b.node AND a.highway IS NOT DISTINCT FROM b.highway AND a.id <> b.id),
       r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT min(b) AS id, a AS child FROM r GROUP BY a""",
@@ -371,3 +507,4 @@ ORACLES = {
     "feed_actions": "SELECT action, count(*) AS n FROM (SELECT id, arg_max(action, version) AS action FROM node_changeset GROUP BY id) GROUP BY action",
     "parents_seen": "SELECT id AS key, NOT arg_max(visible, version) AS deleted FROM ways GROUP BY id",
 }
+ORACLES |= {"grouped_ways_update": ORACLES["grouped_ways"], "segments_update": ORACLES["segments_lengths"]}
