@@ -100,20 +100,23 @@ def _ranges(at: np.ndarray, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndar
     return at[starts], block[starts], codes[starts], codes[ends]
 
 
-_TAGGED = "grp bigint, kind int, lo bigint, hi bigint, id bigint, x double, y double"
-#: Kinds of rows: a point at code lo; a range; a range that begins with the code of its own point; a range within a region.
-_POINT, _RANGE, _OWN, _INSIDE = 0, 1, 2, 3
+#: Rows that are shuffled: a point or a range of codes from lo on; mark has the kind in its low three bits and how many codes follow lo.
+_TAGGED = "lo bigint, mark int, id bigint, x double, y double"
+_NAMES = ["lo", "mark", "id", "x", "y"]
+#: Kinds of rows: a point, with a radius also the range that begins with its own code; a range; a range within
+#: a region; of a salted point, the point alone and that range alone.
+_POINT, _RANGE, _INSIDE, _STILL, _ASKING = 0, 1, 2, 3, 4
 
 
 def _rows(*parts: tuple) -> pa.RecordBatch:
-    """One batch of tagged rows from parts of columns."""
-    columns = [np.concatenate([np.broadcast_to(p[i], len(p[4])) for p in parts]) for i in range(7)]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["grp", "kind", "lo", "hi", "id", "x", "y"])
+    """One batch of tagged rows from parts (lo, kind, codes that follow, id, x, y)."""
+    join = lambda i: np.concatenate([np.broadcast_to(p[i], len(p[0])) for p in parts])
+    mark = (join(1) | join(2) << 3).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (join(0), mark, join(3), join(4), join(5))], _NAMES)
 
 
 def encode(points: DataFrame, radius_m: float) -> DataFrame:
-    """Tagged rows of points (id, x, y): each at its code, and the ranges that cover its disc. One pass over Arrow batches, no shuffle."""
+    """Tagged rows of points (id, x, y): each at its code, and the other ranges that cover its disc. One pass over Arrow batches, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = Grid(radius_m)
@@ -123,7 +126,11 @@ def encode(points: DataFrame, radius_m: float) -> DataFrame:
             i, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
             own = grid.code(x, y)
             at, block, lo, hi = _ranges(*grid.cover(x, y), own)
-            yield _rows((own >> BLOCK_BITS, _POINT, own, own, i, x, y), (block, np.where(lo == own[at], _OWN, _RANGE), lo, hi, i[at], x[at], y[at]))
+            first = lo == own[at]
+            follow = np.zeros(len(i), np.int64)
+            follow[at[first]] = (hi - lo)[first]
+            at, lo, hi = at[~first], lo[~first], hi[~first]
+            yield _rows((own, _POINT, follow, i, x, y), (lo, _RANGE, hi - lo, i[at], x[at], y[at]))
 
     return points.select("id", "x", "y").mapInArrow(run, _TAGGED)
 
@@ -134,15 +141,16 @@ def _near(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, radius
     return h <= np.sin(radius_m / EARTH_M / 2) ** 2
 
 
-def _range_join(columns: list[np.ndarray], bits: int, radius_m: float | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(id of a range's row, id of a point, kind of the range, place of the point) of rows sorted by group and code. With a radius, only those within it."""
-    grp, kind, lo, hi, ids, x, y = columns
-    number = np.cumsum(np.r_[False, grp[1:] != grp[:-1]])
-    low, mask = number << bits, (1 << bits) - 1
-    p, r = np.flatnonzero(kind == _POINT), np.flatnonzero(kind != _POINT)
-    codes = low[p] | (lo[p] & mask)
-    first = np.searchsorted(codes, low[r] | (lo[r] & mask))
-    many = np.searchsorted(codes, low[r] | (hi[r] & mask), "right") - first
+def _range_join(columns: list[np.ndarray], radius_m: float | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id of a range's row, id of a point, kind of the range, place of the point) of rows sorted by code. With a radius, only those within it."""
+    lo, mark, ids, x, y = columns
+    kind, follow = mark & 7, (mark >> 3).astype(np.int64)
+    own = (kind == _POINT) | (kind == _ASKING)
+    p = np.flatnonzero((kind == _POINT) | (kind == _STILL))
+    r = np.flatnonzero(kind != (_POINT if radius_m is None else _STILL))
+    codes = lo[p]
+    first = np.searchsorted(codes, lo[r])
+    many = np.searchsorted(codes, lo[r] + follow[r], "right") - first
     ends = np.cumsum(many)
     at = 0
     while at < len(r):
@@ -152,7 +160,7 @@ def _range_join(columns: list[np.ndarray], bits: int, radius_m: float | None) ->
         b = p[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:to], n)]
         at = to
         if radius_m is not None:
-            hit = (kind[a] != _OWN) | (lo[b] != lo[a]) | (ids[b] > ids[a])
+            hit = ~own[a] | (lo[b] != lo[a]) | (ids[b] > ids[a])
             a, b = a[hit], b[hit]
             hit = _near(x[a], y[a], x[b], y[b], radius_m)
             a, b = a[hit], b[hit]
@@ -161,32 +169,25 @@ def _range_join(columns: list[np.ndarray], bits: int, radius_m: float | None) ->
 
 
 def _joined(tagged: DataFrame, bits: int, radius_m: float | None) -> DataFrame:
-    """(a, b, kind, x, y): the matches of ranges and points of tagged rows, with the place of the point."""
+    """(a, b, kind, x, y): the matches of ranges and points of tagged rows, with the place of the point. No range goes beyond its block."""
 
     def task(hot: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] | None = None
             aside: int | None = None
-            empty = [np.zeros(0, np.int64)] * 3
 
             def matches(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-                for a, b, kind, x, y in _range_join(columns, bits, radius_m) if len(columns[0]) else ():
-                    none = pa.nulls(len(a), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a), pa.array(b), pa.array(kind.astype(np.int32)), none, none, none, pa.array(x), pa.array(y)], _OUT_NAMES
-                    )
+                for a, b, kind, x, y in _range_join(columns, radius_m):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind), pa.nulls(len(a), pa.int64()), pa.array(x), pa.array(y)], _OUT_NAMES)
 
             def put_aside(columns: list[np.ndarray]) -> pa.RecordBatch:
-                grp, kind, lo, hi, ids, x, y = columns
-                none = pa.nulls(len(ids), pa.int64())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(ids), none, pa.array(kind.astype(np.int32)), *(pa.array(c) for c in (grp, lo, hi, x, y))], _OUT_NAMES
-                )
+                lo, mark, ids, x, y = columns
+                return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(mark), pa.array(lo), pa.array(x), pa.array(y)], _OUT_NAMES)
 
             for batch in batches:
                 columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
                 if aside is not None:
-                    n = int(np.searchsorted(columns[0], aside, "right"))
+                    n = int(np.searchsorted(columns[0] >> bits, aside, "right"))
                     if n:
                         yield put_aside([c[:n] for c in columns])
                         columns = [c[n:] for c in columns]
@@ -194,37 +195,41 @@ def _joined(tagged: DataFrame, bits: int, radius_m: float | None) -> DataFrame:
                     columns = [np.concatenate(p) for p in zip(held, columns)]
                 if not len(columns[0]):
                     continue
-                last = int(np.searchsorted(columns[0], columns[0][-1]))
+                last = int(np.searchsorted(columns[0], columns[0][-1] >> bits << bits))
                 yield from matches([c[:last] for c in columns])
                 held = [c[last:] for c in columns]
                 if hot is not None and len(held[0]) > hot:
-                    aside = int(held[0][0])
+                    aside = int(held[0][0]) >> bits
                     yield put_aside(held)
                     held = None
-            yield from matches(held if held is not None else empty)
+            if held is not None:
+                yield from matches(held)
 
         return run
 
-    by = lambda df: df.repartition("grp").sortWithinPartitions("grp", "lo").select(*_NAMES).mapInArrow(task(HOT), _OUT)
-    first = cut(by(tagged))
+    block = F.shiftright("lo", bits)
+    by = lambda df, hot: df.repartition(block).sortWithinPartitions("lo").select(*_NAMES).mapInArrow(task(hot), _OUT)
     found = ["a", "b", "kind", "x", "y"]
+    first = cut(by(tagged, HOT))
     done = first.where("b IS NOT NULL").select(*found)
-    hot = first.where("b IS NULL")
+    hot = first.where("b IS NULL").select("lo", F.col("kind").alias("mark"), F.col("a").alias("id"), "x", "y")
     if hot.isEmpty():
         return done
-    salts = hot.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT)).cast("int").alias("salts"))
+    hot = hot.withColumn("block", block)
+    salts = hot.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT)).cast("int").alias("salts"))
     own, every = F.pmod(F.xxhash64("id"), F.col("salts")), F.sequence(F.lit(0), F.col("salts") - 1).cast("array<bigint>")
-    salted = hot.withColumnRenamed("a", "id").join(salts, "grp")
-    points = salted.where(F.col("kind") == _POINT).withColumn("s", own).withColumn("t", F.explode(every))
-    ranges = salted.where(F.col("kind") != _POINT).withColumn("t", own).withColumn("s", F.explode(every))
-    split = points.unionByName(ranges).withColumn("grp", F.xxhash64("grp", "s", "t"))
-    rest = split.repartition("grp").sortWithinPartitions("grp", "lo").select(*_NAMES).mapInArrow(task(None), _OUT)
-    return done.unionByName(rest.select(*found))
+    salted, kind = hot.join(salts, "block"), F.col("mark").bitwiseAND(7)
+    points, asking = salted.where(kind == _POINT), salted if radius_m is not None else salted.where(kind != _POINT)
+    alone = F.when(kind == _POINT, F.col("mark") + _ASKING).otherwise(F.col("mark"))
+    points = points.withColumn("s", own).withColumn("t", F.explode(every)).withColumn("mark", F.lit(_POINT if radius_m is None else _STILL))
+    asking = asking.withColumn("t", own).withColumn("s", F.explode(every)).withColumn("mark", alone)
+    low = F.col("lo").bitwiseAND((1 << bits) - 1)
+    split = points.unionByName(asking).withColumn("lo", F.shiftleft(F.xxhash64("block", "s", "t"), bits).bitwiseOR(low))
+    return done.unionByName(by(split, None).select(*found))
 
 
-_NAMES = ["grp", "kind", "lo", "hi", "id", "x", "y"]
-_OUT = "a bigint, b bigint, kind int, grp bigint, lo bigint, hi bigint, x double, y double"
-_OUT_NAMES = ["a", "b", "kind", "grp", "lo", "hi", "x", "y"]
+_OUT = "a bigint, b bigint, kind int, lo bigint, x double, y double"
+_OUT_NAMES = ["a", "b", "kind", "lo", "x", "y"]
 
 
 def usable_places(df: DataFrame) -> DataFrame:
@@ -253,14 +258,7 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     are left out; an empty table gives an empty result. The pairs are the result, so a crowded
     place costs what it returns here; near_places gives the same without the pairs of crowds.
     """
-    pairs, members = near_places(points, radius_m)
-    members = cut(members)
-    if not members.isEmpty():
-        named = lambda c: members.select(F.col("place").alias(c), F.col("id").alias(f"{c}_id"))
-        both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        pairs = both.select(F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"))
-        own = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "place").where("a < b")
-        pairs = pairs.unionByName(own.select("a", "b"))
+    pairs = _joined(encode(usable_places(points), radius_m), BLOCK_BITS, radius_m)
     return pairs.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"))
 
 
@@ -274,9 +272,9 @@ def _quad(lon: np.ndarray, lat: np.ndarray, level: int) -> tuple[np.ndarray, np.
     return part(lat, -90, 180), part(lon, -180, 360)
 
 
-def _group(level: int, code: np.ndarray) -> np.ndarray:
-    """Blocks of different levels are different groups."""
-    return (code >> REGION_BITS) | (level << 56)
+def _levelled(level: int, code: np.ndarray) -> np.ndarray:
+    """Codes of different levels are different codes, and lie in different blocks."""
+    return code | (level << 56)
 
 
 def cover_region(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -343,12 +341,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
                 x, y = (np.array([p[c] for p in ring]) for c in "xy")
                 level, lo, hi, inside = cover_region(x, y)
                 none = np.zeros(len(lo))
-                parts.append((_group(level, lo), np.where(inside, _INSIDE, _RANGE), lo, hi, np.full(len(lo), i), none, none))
+                parts.append((_levelled(level, lo), np.where(inside, _INSIDE, _RANGE), hi - lo, np.full(len(lo), i), none, none))
             if parts:
                 yield _rows(*parts)
 
     ranges = cut(regions.mapInArrow(cover, _TAGGED))
-    levels = sorted(r[0] for r in ranges.select(F.shiftright("grp", 56)).distinct().collect())
+    levels = sorted(r[0] for r in ranges.select(F.shiftright("lo", 56)).distinct().collect())
     if not levels:
         return regions.sparkSession.createDataFrame([], "region bigint, point bigint")
 
@@ -359,11 +357,12 @@ def points_in_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
                 row, col = _quad(x, y, LEVELS)
                 code = curve_code(row, col)
                 up = [code >> 2 * (LEVELS - k) for k in levels]
-                yield _rows(*((_group(k, c), _POINT, c, c, i, x, y) for k, c in zip(levels, up)))
+                yield _rows(*((_levelled(k, c), _POINT, 0, i, x, y) for k, c in zip(levels, up)))
 
     places = usable_places(points).select("id", "x", "y")
-    blocks = ranges.select("grp").distinct()
-    tagged = places.mapInArrow(place, _TAGGED).join(blocks, "grp", "left_semi").select(*_NAMES).unionByName(ranges)
+    block = F.shiftright("lo", REGION_BITS).alias("block")
+    blocks = ranges.select(block).distinct()
+    tagged = places.mapInArrow(place, _TAGGED).withColumn("block", block).join(blocks, "block", "left_semi").select(*_NAMES).unionByName(ranges)
     met = cut(_joined(tagged, REGION_BITS, None).select(F.col("a").alias("region"), F.col("b").alias("point"), "kind", "x", "y"))
     asked = met.where(F.col("kind") != _INSIDE).join(regions.withColumnRenamed("id", "region"), "region")
     sure = asked.where(within_ring(F.col("x"), F.col("y"), F.col("ring")))

@@ -36,6 +36,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.near_pairs(nodes, 10.0)
 
 
+def p3_places(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found without the pairs of crowds: (kind, a, b) with kind pair for two places that are near, each under its least node, and
+    kind member for a place with several nodes and each of them."""
+    nodes = current_values(read(spark, d, "nodes"), ["x", "y", "visible"]).where("visible")
+    pairs, members = proximity.near_places(nodes, 10.0)
+    pairs = pairs.select(F.lit("pair").alias("kind"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(members.select(F.lit("member").alias("kind"), F.col("place").alias("a"), F.col("id").alias("b")))
+
+
 def p3_regions(spark: SparkSession, d: str) -> DataFrame:
     """(way, node): the current nodes within the ring of each current way that ends where it begins, of the nodes of it that have a place."""
     nodes = proximity.usable_places(current_values(read(spark, d, "nodes"), ["x", "y", "visible"]).where("visible")).select("id", "x", "y")
@@ -162,6 +171,12 @@ WHERE pow(sin(radians(b.y - a.y) / 2), 2)
   + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)
   <= pow(sin(10 / 6371008.8 / 2), 2)"""
 
+_P3_PLACES = f"""
+WITH found AS ({_P3}), n AS (SELECT id, x, y FROM {current_sql("nodes", "id, x, y")} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND NOT (x = 0 AND y = 0)),
+place AS (SELECT id, min(id) OVER (PARTITION BY x, y) AS place, count(*) OVER (PARTITION BY x, y) AS many FROM n)
+SELECT 'pair' AS kind, node_a AS a, node_b AS b FROM found JOIN place p ON p.id = node_a AND p.place = node_a JOIN place q ON q.id = node_b AND q.place = node_b
+UNION ALL SELECT 'member', place, id FROM place WHERE many > 1"""
+
 _P3_REGIONS = f"""
 WITH p AS (SELECT id, x, y FROM {current_sql("nodes", "id, x, y")} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND NOT (x = 0 AND y = 0)),
 closed AS (SELECT id, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS place FROM {current_sql("ways", "id, nodes")} WHERE len(nodes) > 3 AND nodes[1] = nodes[-1]),
@@ -247,7 +262,7 @@ TYPES = {
 _OBJECTS = " UNION ALL ".join(f"SELECT '{o}' AS obj, id FROM {current_sql(t, 'id, tags')}" for o, t in (("node", "nodes"), ("way", "ways"), ("relation", "relations")))
 
 QUERIES = {
-    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found, "p3_regions": p3_regions,
+    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_members": p2_members, "p2_relations": p2_relations, "p3_found": p3_found, "p3_regions": p3_regions, "p3_places": p3_places,
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_wide": p7_wide, "p7_entries": p7_entries,
 }
 ORACLES = {
@@ -257,6 +272,7 @@ ORACLES = {
     "sequence, unnest(members) AS m, (generate_subscripts(members, 1) - 1)::INT AS place FROM relations) WHERE m IS NOT NULL",
     "p3_found": _P3,
     "p3_regions": _P3_REGIONS,
+    "p3_places": _P3_PLACES,
     "p5_found": _P5,
     "p6_found": _P6,
     "p7_found": _P7,
