@@ -69,21 +69,34 @@ def test_orphans_against_brute_force(spark, seed):
             state = "late"
         if state:
             want.append((src, sid, t, ref, state, date.strftime("%Y-%m") if date else "none"))
-    codes = orphans.parent_codes(spark.createDataFrame(parents, PARENT), "N")
-    got = orphans.orphan_references(spark.createDataFrame(refs, REF), codes)
+    codes = orphans.parent_rows(spark.createDataFrame(parents, PARENT), "N")
+    got = orphans.orphan_references(spark.createDataFrame(refs, REF), [codes])
     assert rows(got, "src", "src_id", "ref_type", "ref_id", "state", "period") == sorted(want)
 
 
-def test_runs_are_cut_at_blocks(spark):
-    codes = orphans.parent_codes(spark.createDataFrame([(i, 1, True, DAY, "", "") for i in range(250, 262)], PARENT), "N")
-    assert rows(orphans.key_runs(codes), "start", "end") == [(250, 255), (256, 261)]
+def test_runs_compress_keys(spark):
+    keys = [(i, 1, not 1010 <= i <= 1012, day(i % 7), "", "") for i in range(1000, 1300) if i != 1005]
+    runs = orphans.key_runs(orphans.key_slots(orphans.parent_rows(spark.createDataFrame(keys, PARENT), "N")))
+    assert rows(runs, "start", "end", "deleted") == [(1000, 1004, False), (1006, 1009, False), (1010, 1012, True), (1013, 1023, False), (1024, 1299, False)]
+    assert {r.latest for r in runs.where("start = 1024").collect()} == {int((day(6) - dt.datetime(1970, 1, 1, tzinfo=DAY.tzinfo)).total_seconds() * 1e6)}
+
+
+def test_a_hot_parent_and_a_hot_reference(spark):
+    parents = spark.range(20_000).selectExpr("IF(id % 3 = 0, 7, id) AS id", "INT(id % 5) AS version", "true AS visible", "timestamp'2024-01-01' AS date")
+    refs = spark.range(20_000).selectExpr("'ways' AS src", "id AS src_id", "'N' AS ref_type", "IF(id % 3 = 0, 20001, id + 7) AS ref_id", "timestamp'2023-01-01' AS date")
+    got = orphans.orphan_references(refs, [orphans.parent_rows(parents, "N")])
+    states = {r.state: r["count"] for r in got.groupBy("state").count().collect()}
+    there = {7 if i % 3 == 0 else i for i in range(20_000)}
+    first = {7 if i % 3 == 0 else i for i in range(20_000) if i % 5 == 1}
+    want = [20_001 if i % 3 == 0 else i + 7 for i in range(20_000)]
+    assert states == {"missing": sum(w not in there for w in want), "late": sum(w in first for w in want)}
 
 
 def test_orphans_of_empty_tables(spark):
-    none = orphans.parent_codes(spark.createDataFrame([], PARENT), "N")
+    none = orphans.parent_rows(spark.createDataFrame([], PARENT), "N")
     one = spark.createDataFrame([("ways", 1, "N", 5, None, "", 0, 0)], REF)
-    assert orphans.orphan_references(one, none).collect()[0].state == "missing"
-    assert orphans.orphan_references(one.limit(0), none).count() == 0
+    assert orphans.orphan_references(one, [none]).collect()[0].state == "missing"
+    assert orphans.orphan_references(one.limit(0), [none]).count() == 0
 
 
 def test_references(spark):

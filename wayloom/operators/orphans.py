@@ -1,96 +1,110 @@
 """References to records that do not exist.
 
-Parent keys are compressed to runs of successive integers. A run never crosses a block of
-2**BLOCK_BITS keys, so that runs and references meet within blocks: both are shuffled by block,
-sorted by key, and each reference looks at the run that starts last before it (an as-of match).
-A reference beyond the end of that run, or before any run of its block, has no parent.
+Parent keys are compressed to runs of successive integers. A first aggregation brings SLOTS neighbouring
+keys together in a row, with the last version and first appearance of each; of that only the runs go
+on: where they begin and end, whether their keys are deleted, and the latest first appearance among
+them. They are shuffled by block, merged, and each reference looks at the run that starts last before
+it (an as-of match). A reference beyond the end of that run, or before any run of its block, has no
+parent; one that is not older than the run's latest key did not come too early; only for the others is
+the key itself looked up in the rows of the first aggregation.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys of a block. A run carries one code for each of its keys, so this also bounds a row.
-BLOCK_BITS = 8
-#: Code of a deleted key. Other codes are the first appearance in microseconds, null if unknown.
-DELETED = -(2**63)
-
+#: Bits of a key below its row of the first aggregation, and below the block in which runs and references meet.
+SLOT_BITS, BLOCK_BITS = 3, 10
+SLOTS = 1 << SLOT_BITS
+#: States of a slot and of a run.
+_NONE, _THERE, _DELETED = 0, 1, 2
 
-def parent_codes(df: DataFrame, ref_type: str) -> DataFrame:
-    """(ref_type, key, code) for each id: one hash aggregation with partial sums, over narrow columns.
 
-    A key is deleted if its row with the highest version has visible = false. Null ids are left
-    out, null visible counts as visible, null versions as the lowest.
-    """
+def parent_rows(df: DataFrame, ref_type: str) -> DataFrame:
+    """(ref_type, key, last, first) of each row of a parent table (id, version, visible, date): last is twice the version, and one
+    more if the row is a deletion; first, of a first version, its date in microseconds. Null ids are left out, null visible counts
+    as visible, null versions as the lowest."""
     version = F.coalesce(F.col("version"), F.lit(-(2**31))).cast("long")
-    gone = F.when(~F.col("visible"), 1).otherwise(0)
-    return (
-        df.where(F.col("id").isNotNull())
-        .groupBy(F.col("id").alias("key"))
-        .agg(
-            F.max(version * 2 + gone).alias("last"),
-            F.min(F.when(F.col("version") == 1, F.unix_micros("date"))).alias("first"),
-        )
-        .select(
-            F.lit(ref_type).alias("ref_type"),
-            "key",
-            F.when(F.pmod("last", F.lit(2)) == 1, F.lit(DELETED)).otherwise(F.col("first")).alias("code"),
-        )
-    )
+    return df.where(F.col("id").isNotNull()).select(
+        F.lit(ref_type).alias("ref_type"), F.col("id").alias("key"), (version * 2 + F.when(~F.col("visible"), 1).otherwise(0)).alias("last"),
+        F.when(F.col("version") == 1, F.unix_micros("date")).alias("first"),
+    )
+
+
+def key_slots(parents: DataFrame) -> DataFrame:
+    """(ref_type, slots, states, firsts): SLOTS neighbouring keys a row, from one aggregation with partial sums over the rows of all
+    parent tables. A key is deleted if its row with the highest version is a deletion."""
+    slot = F.col("key").bitwiseAND(SLOTS - 1)
+    aggs = [F.max(F.when(slot == i, F.col("last"))).alias(f"l{i}") for i in range(SLOTS)]
+    aggs += [F.min(F.when(slot == i, F.col("first"))).alias(f"f{i}") for i in range(SLOTS)]
+    state = lambda i: F.when(F.col(f"l{i}").isNull(), _NONE).when(F.pmod(f"l{i}", F.lit(2)) == 1, _DELETED).otherwise(_THERE)
+    rows = parents.groupBy("ref_type", F.shiftright("key", SLOT_BITS).alias("slots")).agg(*aggs)
+    return rows.select("ref_type", "slots", F.array(*map(state, range(SLOTS))).alias("states"), F.array(*(f"f{i}" for i in range(SLOTS))).alias("firsts"))
 
 
 def block_of(key: Column) -> Column:
     return F.shiftright(key, BLOCK_BITS)
 
 
-def key_runs(parents: DataFrame) -> DataFrame:
-    """(ref_type, block, start, end, codes): runs of successive keys, cut at block borders."""
-    w = Window.partitionBy("ref_type", "block").orderBy("key")
-    begins = F.when(F.coalesce(F.col("key") - F.lag("key").over(w) != 1, F.lit(True)), F.col("key"))
+def key_runs(slots: DataFrame) -> DataFrame:
+    """(ref_type, block, start, end, deleted, latest): runs of successive keys in the same state, cut at block borders.
+
+    latest is the latest first appearance of a run's keys, null if none is known. What is shuffled are the runs within each row of slots.
+    """
+    at = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    begins = F.filter(at, lambda i: (F.get("states", i) != _NONE) & ((i == 0) | (F.get("states", i - 1) != F.get("states", i))))
+
+    def run(i: Column) -> Column:
+        other = F.filter(at, lambda j: (j > i) & (F.get("states", j) != F.get("states", i)))
+        end = F.coalesce(F.get(other, 0), F.lit(SLOTS)) - 1
+        base = F.shiftleft("slots", SLOT_BITS)
+        return F.struct(
+            (base + i).alias("start"), (base + end).alias("end"), (F.get("states", i) == _DELETED).alias("deleted"),
+            F.array_max(F.slice("firsts", i + 1, end - i + 1)).alias("latest"),
+        )
+
+    small = slots.select("ref_type", F.inline(F.transform(begins, run))).withColumn("block", block_of(F.col("start")))
+    w = Window.partitionBy("ref_type", "block").orderBy("start")
+    goes_on = (F.lag("end").over(w) + 1 == F.col("start")) & (F.lag("deleted").over(w) == F.col("deleted"))
     return (
-        parents.withColumn("block", block_of(F.col("key")))
-        .withColumn("begins", begins)
-        .withColumn("start", F.last("begins", ignorenulls=True).over(w))
-        .groupBy("ref_type", "block", "start")
-        .agg(F.max("key").alias("end"), F.array_sort(F.collect_list(F.struct("key", "code"))).alias("items"))
-        .select("ref_type", "block", "start", "end", F.col("items.code").alias("codes"))
+        small.withColumn("head", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("start")))
+        .withColumn("head", F.last("head", ignorenulls=True).over(w))
+        .groupBy("ref_type", "block", F.col("head").alias("start"))
+        .agg(F.max("end").alias("end"), F.first("deleted").alias("deleted"), F.max("latest").alias("latest"))
     )
 
 
 def match_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
-    """The keys (ref_type, ref_id, since: the earliest referring time) that may be orphans, with
-    state and first: missing, deleted, or late if a reference may precede the key's first appearance.
+    """The keys (ref_type, ref_id, since: the earliest referring time) that are or may be orphans, with state: missing, deleted, or late
+    if the earliest reference precedes the latest key of its run.
 
     Blocks hold at most 2**BLOCK_BITS keys of either side: no window group grows with the input.
     """
-    run = F.struct("end", "codes", "start")
     both = keys.select(
         "ref_type", block_of(F.col("ref_id")).alias("block"), F.col("ref_id").alias("at"), F.lit(1).alias("kind"), "since",
-        F.lit(None).cast("struct<end:bigint,codes:array<bigint>,start:bigint>").alias("run"),
+        F.lit(None).cast("struct<end:bigint,deleted:boolean,latest:bigint>").alias("run"),
     ).unionByName(
-        runs.select("ref_type", "block", F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("since"), run.alias("run"))
+        runs.select("ref_type", "block", F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("since"), F.struct("end", "deleted", "latest").alias("run"))
     )
     w = Window.partitionBy("ref_type", "block").orderBy("at", "kind")
     beyond = F.col("run").isNull() | (F.col("at") > F.col("run.end"))
-    code = F.get("run.codes", (F.col("at") - F.col("run.start")).cast("int"))
-    state = (
-        F.when(beyond, "missing").when(F.col("code") == DELETED, "deleted").when(F.col("code") > F.col("since"), "late")
-    )
+    state = F.when(beyond, "missing").when(F.col("run.deleted"), "deleted").when(F.col("run.latest") > F.col("since"), "late")
     return (
         both.withColumn("run", F.last("run", ignorenulls=True).over(w))
         .where("kind = 1")
-        .withColumn("code", F.when(~beyond, code))
-        .select("ref_type", F.col("at").alias("ref_id"), state.alias("state"), F.col("code").alias("first"))
+        .select("ref_type", F.col("at").alias("ref_id"), "since", state.alias("state"))
         .where(F.col("state").isNotNull())
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: list[DataFrame]) -> DataFrame:
     """Every reference whose target is missing, deleted or came later.
 
-    refs: (src, src_id, ref_type, ref_id, date), each reference once; parents: (ref_type, key,
-    code) as of parent_codes. Returns (src, src_id, ref_type, ref_id, state, period).
+    refs: (src, src_id, ref_type, ref_id, date), each reference once; parents: as of parent_rows, one
+    for each table. Returns (src, src_id, ref_type, ref_id, state, period).
 
     A key that many rows refer to is matched once: the keys are aggregated before the shuffle.
     What was found goes back to the references by a join on the key, in which Spark splits the
@@ -101,7 +115,15 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     at = F.unix_micros("date")
     refs = refs.where(F.col("ref_id").isNotNull() & F.col("ref_type").isNotNull()).select("src", "src_id", "ref_type", "ref_id", "date")
     keys = refs.groupBy("ref_type", "ref_id").agg(F.min(at).alias("since"))
-    bad = match_runs(keys, key_runs(parents))
+    slots = key_slots(reduce(DataFrame.unionByName, parents))
+    met = match_runs(keys, key_runs(slots)).withColumn("slots", F.shiftright("ref_id", SLOT_BITS))
+    first = F.get("firsts", F.col("ref_id").bitwiseAND(SLOTS - 1).cast("int"))
+    bad = (
+        met.join(slots.select("ref_type", "slots", "firsts"), ["ref_type", "slots"], "left")
+        .select("ref_type", "ref_id", "state", F.when(F.col("state") == "late", first).alias("first"), "since")
+        .where((F.col("state") != "late") | (F.col("first") > F.col("since")))
+        .drop("since")
+    )
     day = F.date_from_unix_date(F.floor(at / F.lit(86_400_000_000)).cast("int"))
     return (
         refs.join(bad, ["ref_type", "ref_id"])

@@ -12,7 +12,7 @@ from wayloom.operators.filtered import FilteredTable
 from wayloom.operators.groups import GroupedWayTable
 from wayloom.operators.hierarchy import RelationHierarchy
 from wayloom.operators.increment import latest_marks
-from wayloom.operators.orphans import parent_codes
+from wayloom.operators.orphans import SLOT_BITS, key_slots, parent_rows
 from wayloom.operators.route import nested_route_lines
 from wayloom.operators.segments import SegmentsTable, intersections
 from wayloom.operators.tiling import find_tiles, plan_tiles
@@ -309,7 +309,9 @@ def feed_actions(spark, d):
 
 
 def parents_seen(spark, d):
-    return parent_codes(read(spark, d, "ways"), "W").select("key", (F.col("code") == -(2**63)).eqNullSafe(F.lit(True)).alias("deleted"))
+    slots = key_slots(parent_rows(read(spark, d, "ways"), "W"))
+    each = slots.select("slots", F.posexplode("states").alias("i", "state")).where("state > 0")
+    return each.select((F.shiftleft("slots", SLOT_BITS) + F.col("i")).alias("key"), (F.col("state") == 2).alias("deleted"))
 
 
 def _was(table: str, columns: str) -> str:

@@ -15,11 +15,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     refs = orphans.way_references(current_rows(ways, ["nodes", "visible", "date"]).where("visible")).unionByName(
         orphans.member_references(current_rows(relations, ["members", "visible", "date"]).where("visible"))
     )
-    parents = (
-        orphans.parent_codes(nodes, "N")
-        .unionByName(orphans.parent_codes(ways, "W"))
-        .unionByName(orphans.parent_codes(relations, "R"))
-    )
+    parents = [orphans.parent_rows(df, kind) for df, kind in ((nodes, "N"), (ways, "W"), (relations, "R"))]
     return orphans.orphan_references(refs, parents)
 
 
