@@ -41,7 +41,9 @@ def key_slots(parents: DataFrame) -> DataFrame:
     aggs = [F.max(F.when(slot == i, F.col("last"))).alias(f"l{i}") for i in range(SLOTS)]
     aggs += [F.min(F.when(slot == i, F.col("first"))).alias(f"f{i}") for i in range(SLOTS)]
     state = lambda i: F.when(F.col(f"l{i}").isNull(), _NONE).when(F.pmod(f"l{i}", F.lit(2)) == 1, _DELETED).otherwise(_THERE)
-    rows = parents.groupBy("ref_type", F.shiftright("key", SLOT_BITS).alias("slots")).agg(*aggs)
+    slots = F.shiftright("key", SLOT_BITS)
+    # Spark filters the side of a join in this way; done for all uses, their plans are equal and share one shuffle.
+    rows = parents.where(slots.isNotNull()).groupBy("ref_type", slots.alias("slots")).agg(*aggs)
     return rows.select("ref_type", "slots", F.array(*map(state, range(SLOTS))).alias("states"), F.array(*(f"f{i}" for i in range(SLOTS))).alias("firsts"))
 
 
@@ -117,9 +119,11 @@ def orphan_references(refs: DataFrame, parents: list[DataFrame]) -> DataFrame:
     keys = refs.groupBy("ref_type", "ref_id").agg(F.min(at).alias("since"))
     slots = key_slots(reduce(DataFrame.unionByName, parents))
     met = match_runs(keys, key_runs(slots)).withColumn("slots", F.shiftright("ref_id", SLOT_BITS))
-    first = F.get("firsts", F.col("ref_id").bitwiseAND(SLOTS - 1).cast("int"))
+    # Both uses of the slots read all of their columns, so that Spark makes and shuffles them once.
+    slot = F.col("ref_id").bitwiseAND(SLOTS - 1).cast("int")
+    first = F.when(F.get("states", slot) == _THERE, F.get("firsts", slot))
     bad = (
-        met.join(slots.select("ref_type", "slots", "firsts"), ["ref_type", "slots"], "left")
+        met.join(slots, ["ref_type", "slots"], "left")
         .select("ref_type", "ref_id", "state", F.when(F.col("state") == "late", first).alias("first"), "since")
         .where((F.col("state") != "late") | (F.col("first") > F.col("since")))
         .drop("since")
