@@ -26,11 +26,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, for sessions whose executors do not have it installed."""
+    """Sends this package to the executors, once for each application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
     root = os.path.dirname(os.path.abspath(__file__))
     packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "wayloom"), "zip", os.path.dirname(root), os.path.basename(root))
-    spark.sparkContext.addPyFile(packed)
+    sc.addPyFile(packed)
+    _shipped.add(sc.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
