@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,15 +192,25 @@ def test_routes(spark):
     assert nested[3] == [[9, 8], [2, 1, 0]]
 
 
-def test_routes_of_routes(spark):
+@pytest.mark.parametrize("task_refs", [0, 3, 1000])
+def test_routes_of_routes(spark, task_refs):
     w = line(spark, *([(i, 0), (i + 1, 0)] for i in range(6)))
     spec = {1: "w0 r2 r2 r77", 2: "r3 r2", 3: "w1 w2", 4: "n1 r1 w3", 5: "r6 w4", 6: "w5 r7", 7: "r5 r6 w3", 8: "r5", 9: "n9 r99"}
-    got = {x.id: [[p.x for p in part] for part in x.lines] for x in nested_route_lines(relations(spark, spec), w).collect()}
+    got = {x.id: [[p.x for p in part] for part in x.lines] for x in nested_route_lines(relations(spark, spec), w, task_refs).collect()}
     assert got[2] == got[3] == [[1, 2, 3]] and got[1] == [[0, 1, 2, 3, 2, 1]] and 9 not in got
     assert got[4][0][:4] == [0, 1, 2, 3] and set(got) == set(range(1, 9))
     assert all({p for part in got[i] for p in part} == {3, 4, 5, 6} for i in (5, 6, 7, 8)) and got[8] == got[5]
 
 
+def test_routes_in_tasks_and_in_rounds_are_the_same(spark):
+    rng = random.Random(5)
+    w = line(spark, *([(rng.randrange(4), rng.randrange(4)), (rng.randrange(4), rng.randrange(4))] for _ in range(12)))
+    spec = {i: " ".join(rng.choice(["w", "w", "r", "n"]) + str(rng.randrange(12)) for _ in range(rng.randrange(1, 6))) for i in range(1, 40)}
+    spec |= {100 + i: f"r{101 + i} w{i % 12}" for i in range(30)}
+    both = [rows(nested_route_lines(relations(spark, spec), w, n), "id", "lines") for n in (0, 10**6)]
+    assert both[0] == both[1] and len(both[0]) > 60
+
+
 def test_selectors(spark):
     s = Source(grid(spark, 1, 2), changes(spark, "A1", "M2", "D3", "C4"))
     ids = lambda df: [r[0] for r in rows(df, "id")]

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.model import LINE
+from wayloom.operators.forest import components
 from wayloom.operators.hierarchy import descend
 from wayloom.operators.relational import members
 from wayloom.session import cut
 
+#: Members of the relations of a component that one task folds.
+TASK_REFS = 200_000
 Point = tuple[float, float]
 Parts = list[list[Point]]
 
@@ -156,21 +159,89 @@ def _uncircled(relations: DataFrame, links: DataFrame) -> DataFrame:
     return rest.unionByName(fresh.select("id", F.transform("all", lambda x: x["m"]).alias("members")))
 
 
-def nested_route_lines(relations: DataFrame, ways: DataFrame) -> DataFrame:
+def folded(relations: list[dict]) -> dict[int, Parts]:
+    """The routes of relations (id, pieces) that hold each other without cycles: a relation is stitched when its members are."""
+    pieces_of = {r["id"]: r["pieces"] for r in relations}
+    done: dict[int, Parts] = {}
+    for top in pieces_of:
+        todo = [top]
+        while todo:
+            own = pieces_of[todo[-1]]
+            below = [p["member"] for p in own if p["kind"] == "R" and p["member"] != todo[-1] and p["member"] in pieces_of and p["member"] not in done]
+            if todo[-1] in done or not below:
+                v = todo.pop()
+                if v not in done:
+                    lines = lambda p: done.get(p["member"], []) if p["kind"] == "R" else [[(q["x"], q["y"]) for q in line] for line in p["lines"]]
+                    pieces = {(p["kind"], p["member"]): [list(line) for line in lines(p)] for p in own}
+                    done[v] = stitch([(p["kind"], p["member"]) for p in own], pieces)
+            else:
+                todo.extend(below)
+    return done
+
+
+def _in_tasks(relations: DataFrame, ways: DataFrame, comp: DataFrame) -> DataFrame:
+    """(id, lines) of relations without cycles; comp: (id, component). A task folds whole components."""
+    refs = relations.select("id", F.posexplode("members").alias("place", "m")).select(
+        "id", "place", F.upper("m.type").alias("kind"), F.col("m.id").alias("member")
+    )
+    lines = ways.select(F.col("id").alias("member"), F.array("geom").alias("lines"))
+    own = refs.where("kind = 'W'").join(lines, "member").select("id", "place", "kind", "member", "lines")
+    held = refs.where("kind = 'R'").withColumn("lines", F.lit(None).cast(lines.schema["lines"].dataType))
+    whole = own.unionByName(held).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "member", "lines"))).alias("pieces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            routes = folded(held)
+            lists = [[[{"x": x, "y": y} for x, y in line] for line in parts] for parts in routes.values()]
+            return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(lists, kind)], ["id", "lines"])
+
+        for b in batches:
+            for row in b.to_pylist():
+                if held and row["component"] != held[0]["component"]:
+                    yield out()
+                    held.clear()
+                held.append(row)
+        if held:
+            yield out()
+
+    bucketed = whole.join(comp, "id").select("component", "id", "pieces").repartition("component").sortWithinPartitions("component")
+    return bucketed.mapInArrow(run, f"id bigint, lines array<{LINE.simpleString()}>").where(F.size("lines") > 0)
+
+
+def nested_route_lines(relations: DataFrame, ways: DataFrame, task_refs: int = TASK_REFS) -> DataFrame:
     """(id, lines): as route_lines, with the routes of member relations, at any depth.
 
-    Relations are folded from the bottom up: a round takes those whose member relations are all
-    done. For relations in cycles see _uncircled.
+    Relations that hang together are folded within a task, as long as they have no more than task_refs
+    members in all; larger components from the bottom up, where a round takes the relations whose
+    member relations are all done. Both give the same. For relations in cycles see _uncircled.
     """
-    waiting = cut(_uncircled(relations, _links(relations)))
-    used = members(waiting, "W").select(F.col("member").alias("id")).distinct()
+    whole = cut(_uncircled(relations, _links(relations)))
+    used = members(whole, "W").select(F.col("member").alias("id")).distinct()
     ways = cut(ways.select("id", "geom").join(used, "id", "left_semi"))
+    found = components(_links(whole)).select(F.col("vertex").alias("id"), "component")
+    comp = cut(whole.select("id", F.size("members").alias("refs")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "refs"))
+    large = comp.groupBy("component").agg(F.sum("refs").alias("refs")).where(F.col("refs") > task_refs).select("component")
+    apart = cut(comp.join(large, "component", "left_semi").select("id"))
+    if apart.isEmpty():
+        routes = _in_tasks(whole, ways, comp.select("id", "component"))
+    else:
+        small = comp.join(apart, "id", "left_anti").select("id", "component")
+        routes = _in_tasks(whole, ways, small).unionByName(_in_rounds(whole.join(apart, "id", "left_semi"), ways))
+    return routes.join(relations.select("id"), "id", "left_semi")
+
+
+def _in_rounds(waiting: DataFrame, ways: DataFrame) -> DataFrame:
+    """(id, lines) of relations without cycles, from the bottom up."""
+    waiting = cut(waiting)
     rest, routes = _links(waiting), None
     while True:
         above = rest.select(F.col("parent").alias("id")).distinct()
         level = cut(route_lines(waiting.join(above, "id", "left_anti"), ways, routes))
         routes = level if routes is None else routes.unionByName(level)
         if rest.isEmpty():
-            return routes.join(relations.select("id"), "id", "left_semi")
+            return routes
         waiting = cut(waiting.join(above, "id", "left_semi"))
         rest = cut(rest.join(waiting.select(F.col("id").alias("child")), "child", "left_semi").select("parent", "child"))
