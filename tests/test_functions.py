@@ -211,6 +211,19 @@ def test_routes_in_tasks_and_in_rounds_are_the_same(spark):
     assert both[0] == both[1] and len(both[0]) > 60
 
 
+def test_points_of_all_sorts_of_wkb(spark):
+    import struct
+
+    little, big = struct.pack("<BIIdd", 1, 0x20000001, 4326, 1.5, -2.0), struct.pack(">BIdd", 0, 1, 3.0, 4.0)
+    line_ = struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    blobs = [little, None, b"", b"\x01", big, little[:-1], struct.pack("<BIdd", 1, 1, 5.0, 6.0), line_, little]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "id int, geom binary").coalesce(1)
+    got = {r.id: (r.p.x, r.p.y) if r.p else None for r in df.select("id", geo.point_of_ewkb(F.col("geom")).alias("p")).collect()}
+    none = (None, None)
+    assert [got[i] or none for i in range(9)] == [(1.5, -2.0), none, none, none, (3.0, 4.0), none, (5.0, 6.0), none, (1.5, -2.0)]
+    assert df.limit(0).select(geo.point_of_ewkb(F.col("geom"))).count() == 0
+
+
 def test_selectors(spark):
     s = Source(grid(spark, 1, 2), changes(spark, "A1", "M2", "D3", "C4"))
     ids = lambda df: [r[0] for r in rows(df, "id")]

@@ -53,7 +53,10 @@ def ewkb_point(x: Column, y: Column, srid: int = 4326) -> Column:
     @F.pandas_udf("string")
     def pack(xs: pd.Series, ys: pd.Series) -> pd.Series:
         head = struct.pack("<BII", 1, WKB_POINT | EWKB_SRID, srid).hex()
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else head + struct.pack("<dd", a, b).hex() for a, b in zip(xs, ys)])
+        places = np.column_stack([xs.to_numpy("float64"), ys.to_numpy("float64")])
+        digits = places.astype("<f8").tobytes().hex()
+        null = np.isnan(places).any(1).tolist()
+        return pd.Series([None if n else head + digits[32 * i : 32 * i + 32] for i, n in enumerate(null)], dtype=object)
 
     return pack(x, y)
 
@@ -63,17 +66,20 @@ def point_of_ewkb(geom: Column) -> Column:
 
     @F.pandas_udf("struct<x:double,y:double>")
     def unpack(blobs: pd.Series) -> pd.DataFrame:
-        out = []
-        for b in blobs:
-            x = y = None
-            if b is not None and len(b) >= 21:
-                order = "<" if b[0] == 1 else ">"
-                (kind,) = struct.unpack_from(order + "I", b, 1)
-                at = 9 if kind & EWKB_SRID else 5
-                if kind & 0xFF == WKB_POINT and len(b) >= at + 16:
-                    x, y = struct.unpack_from(order + "dd", b, at)
-            out.append((x, y))
-        return pd.DataFrame(out, columns=["x", "y"])
+        known = blobs.notna().to_numpy()
+        size = np.zeros(len(blobs), np.int64)
+        size[known] = [len(b) for b in blobs[known]]
+        out = np.full((len(blobs), 2), np.nan)
+        for n in np.unique(size[size >= 21]):  # those of one size are read together
+            at = np.flatnonzero(size == n)
+            raw = np.frombuffer(b"".join(blobs.iloc[at]), np.uint8).reshape(len(at), n)
+            for order, first in (("<", raw[:, 0] == 1), (">", raw[:, 0] != 1)):
+                kind = raw[:, 1:5].copy().view(order + "u4")[:, 0]
+                for skip, own in ((9, kind & EWKB_SRID != 0), (5, kind & EWKB_SRID == 0)):
+                    some = first & own & (kind & 0xFF == WKB_POINT)
+                    if some.any() and n >= skip + 16:
+                        out[at[some]] = raw[some, skip : skip + 16].copy().view(order + "f8")
+        return pd.DataFrame(out, columns=["x", "y"]).astype(object).where(~np.isnan(out), None)
 
     return unpack(geom)
 

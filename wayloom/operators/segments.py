@@ -39,7 +39,8 @@ def cut_pieces(ways: DataFrame, crossings: DataFrame, columns: list[str]) -> Dat
     cuts = inner.join(crossings, "node", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("cuts"))
     ends = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("nodes") - 1))
     part = lambda i: F.slice("nodes", F.get("ends", i) + 1, F.get("ends", i + 1) - F.get("ends", i) + 1)
-    number = F.when(F.abs("id") < 1 << 43, F.col("id") * PIECES + F.col("place")).otherwise(F.raise_error(F.lit("way id beyond 2**43")))
+    fits = (F.abs("id") < 1 << 43) & (F.col("place") < PIECES)
+    number = F.when(fits, F.col("id") * PIECES + F.col("place")).otherwise(F.raise_error(F.lit("way id beyond 2**43, or a way of more than 2**20 pieces")))
     return (
         ways.join(cuts, "id", "left")
         .withColumn("ends", ends)
