@@ -224,6 +224,39 @@ SELECT obj, id, tag_key, 'bad' AS state FROM parsed WHERE r IS NULL GROUP BY ALL
 UNION ALL
 SELECT obj, id, tag_key, 'conflict' FROM parsed GROUP BY obj, id, tag_key HAVING count(DISTINCT r) > 1"""
 
+_JSON_NUMBER = """CASE WHEN json_type(n, 'ref') IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN n->>'ref'
+  WHEN json_type(n, 'ref') = 'DOUBLE' THEN CASE WHEN (n->>'ref')::DOUBLE = floor((n->>'ref')::DOUBLE) THEN (n->>'ref')::DOUBLE::HUGEINT::VARCHAR ELSE n->>'ref' END
+  WHEN json_type(n, 'ref') = 'VARCHAR' AND regexp_full_match(trim(n->>'ref'), '[+-]?[0-9]+') THEN trim(n->>'ref')::HUGEINT::VARCHAR ELSE '' END"""
+_P2 = f"""
+WITH RECURSIVE records AS (SELECT DISTINCT record_id, payload::JSON AS n FROM relation_json WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+nodes AS (
+  SELECT record_id, n, '' AS path, 0 AS deep FROM records
+  UNION ALL
+  SELECT record_id, m, CASE WHEN deep = 0 THEN place::VARCHAR ELSE path || '.' || place END, deep + 1 FROM (
+    SELECT record_id, path, deep, unnest(list) AS m, generate_subscripts(list, 1) - 1 AS place FROM (
+      SELECT record_id, path, deep, CASE json_type(n, 'members') WHEN 'OBJECT' THEN [n->'members'] WHEN 'ARRAY' THEN (n->'members')::JSON[] END AS list FROM nodes))
+  WHERE json_type(m) = 'OBJECT'),
+entries AS (
+  SELECT record_id, path, k AS name, n->'tags'->k AS v FROM (SELECT *, unnest(json_keys(n, 'tags')) AS k FROM nodes WHERE json_type(n, 'tags') = 'OBJECT')
+  UNION ALL
+  SELECT record_id, path, e->>'k', e->'v' FROM (SELECT record_id, path, unnest((n->'tags')::JSON[]) AS e FROM nodes WHERE json_type(n, 'tags') = 'ARRAY')
+  WHERE json_type(e) = 'OBJECT' AND json_type(e, 'k') = 'VARCHAR'),
+flat AS (
+  SELECT * FROM entries
+  UNION ALL
+  SELECT record_id, path, name || ':' || k, v->k FROM (SELECT *, unnest(json_keys(v)) AS k FROM flat WHERE json_type(v) = 'OBJECT'))
+SELECT DISTINCT record_id, path, 'tag' AS kind, name FROM flat WHERE json_type(v) IS DISTINCT FROM 'OBJECT'
+UNION
+SELECT record_id, path, 'member', CASE WHEN json_type(n, 'type') = 'VARCHAR' THEN upper(left(trim(n->>'type'), 1)) ELSE '' END || {_JSON_NUMBER} FROM nodes WHERE deep > 0"""
+_P2_RELATIONS = """
+SELECT id AS record_id, sequence, 'relation' AS tag, '' AS key, NULL::VARCHAR AS parent, NULL::INT AS place, coalesce(id::VARCHAR, '') AS id,
+  '{"version": ' || coalesce(version::VARCHAR, 'null') || '}' AS fields, NULL::VARCHAR AS type, NULL::VARCHAR AS ref, NULL::VARCHAR AS role, NULL::VARCHAR AS name, NULL::VARCHAR AS value FROM relations
+UNION ALL
+SELECT id, sequence, 'member', place::VARCHAR, '', place, NULL, NULL, coalesce(upper(left(trim(m.type), 1)), ''), coalesce(m.id::VARCHAR, ''), m.role, NULL, NULL
+FROM (SELECT id, sequence, unnest(members) AS m, (generate_subscripts(members, 1) - 1)::INT AS place FROM relations) WHERE m IS NOT NULL
+UNION ALL
+SELECT id, sequence, 'tag', '', '', place, NULL, NULL, NULL, NULL, NULL, e.key, e.value
+FROM (SELECT id, sequence, unnest(map_entries(tags)) AS e, (generate_subscripts(map_keys(tags), 1) - 1)::INT AS place FROM relations)"""
 _BIG = "regexp_replace(regexp_replace(v, '^[+]', ''), '^(-?)0+([0-9])', '\\1\\2')"
 _READ = f"""CASE
   WHEN k = 'int' AND regexp_full_match(v, '[+-]?[0-9]+') THEN CASE WHEN {_BIG} = '-0' THEN '0' ELSE {_BIG} END
@@ -266,6 +299,8 @@ ORACLES = {
     "p1_report": f"SELECT src, period, ref_type, state, count(*) AS refs, count(DISTINCT ref_id) AS keys FROM ({_P1}) GROUP BY ALL",
     "p2_members": "SELECT id, version, sequence, place, upper(m.type) AS type, m.id AS ref, m.role AS role FROM (SELECT id, version, "
     "sequence, unnest(members) AS m, (generate_subscripts(members, 1) - 1)::INT AS place FROM relations) WHERE m IS NOT NULL",
+    "p2_found": _P2,
+    "p2_relations": _P2_RELATIONS,
     "p3_found": _P3,
     "p3_regions": _P3_REGIONS,
     "p3_places": _P3_PLACES,
