@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo, tags, tiles
-from wayloom.model import Source, current_rows, read
+from wayloom.model import DELETE, MODIFY, Source, current_rows, read
 from wayloom.operators import relational as rel
 from wayloom.operators.filtered import FilteredTable
 from wayloom.operators.groups import GroupedWayTable
@@ -18,9 +18,11 @@ from wayloom.operators.segments import SegmentsTable, intersections
 from wayloom.operators.tiling import find_tiles, plan_tiles
 from wayloom.operators.transformed import TransformedTable
 from wayloom.operators.ways import PlainWayTable, RelationWayTable
+from wayloom.plans.pipeline import Pipeline
 from wayloom.plans.pipelines import current_sql
-from wayloom.session import cut
+from wayloom.session import cut, fresh_folder
 from wayloom.sources import opl
+from wayloom.sources.snapshot import StatusManager
 
 #: The sequence that parts the old snapshot from the batch of changes in the queries of updates.
 BEFORE = 4600
@@ -314,6 +316,55 @@ def parents_seen(spark, d):
     return each.select((F.shiftleft("slots", SLOT_BITS) + F.col("i")).alias("key"), (F.col("state") == 2).alias("deleted"))
 
 
+def pipeline_lines(spark, d):
+    """Lines of the ways with a highway, kept by a pipeline: loaded and built as before the batch, which is then applied."""
+    p = Pipeline(spark, fresh_folder(spark, "pipeline"))
+    p.add_table("roads", lambda p: FilteredTable(p.source("way"), "map_contains_key(tags, 'highway')"))
+    p.add_table("lines", lambda p: PlainWayTable(p.source("roads"), p.source("node")))
+    base = {"node": "nodes", "way": "ways", "relation": "relations"}
+    place = lambda df, name: located(df) if name == "node" else df
+    p.load({name: place(now(spark, d, table, BEFORE), name) for name, table in base.items()}, BEFORE - 1)
+    p.construct()
+    changes = {}
+    for name, table in base.items():
+        fresh, ids = place(now(spark, d, table), name), batch(spark, d, table).select("id")
+        kept = fresh.join(ids, "id", "left_semi").withColumn("action", F.lit(MODIFY))
+        gone = ids.join(fresh, "id", "left_anti").select("id", *(F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns if c != "id"), F.lit(DELETE).alias("action"))
+        changes[name] = kept.unionByName(gone)
+    p.apply(changes, BEFORE)
+    return p.source("lines").data.select("id", F.size("nodes").alias("nodes"), *ends("geom"))
+
+
+def opl_round_trip(spark, d):
+    """All current objects, written as lines of text and read again."""
+    none = lambda kind: F.lit(None).cast(kind)
+    out = None
+    for kind, table in (("N", "nodes"), ("W", "ways"), ("R", "relations")):
+        rows = current_rows(read(spark, d, table), [*COLUMNS[table], "visible", "version", "uid"])
+        own = {"x": "double", "y": "double", "nodes": "array<bigint>", "members": "array<struct<id:bigint,role:string,type:string>>", "date": "timestamp"}
+        rows = rows.withColumns({c: none(t) for c, t in own.items() if c not in rows.columns}).withColumn("kind", F.lit(kind))
+        rows = rows.select("kind", "id", "version", "visible", "date", "uid", "tags", "x", "y", "nodes", "members")
+        out = rows if out is None else out.unionByName(rows)
+    again = opl.parse(opl.render(out.withColumn("members", F.lit(None).cast(out.schema["members"].dataType))))
+    return text(again.select("kind", "id", "version", "visible", "uid", "tags", "x", "y", "nodes"))
+
+
+def status_table(spark, d):
+    """The marks of all parts through a status manager."""
+    status = StatusManager()
+    for r in latest_marks(read(spark, d, "status")).collect():
+        status.set_status(r.part, r.date, r.sequence)
+    return status.table(spark).select("part", "sequence", F.unix_micros("date").alias("micros"))
+
+
+def node_functions(spark, d):
+    """Split paths of the tiles of nodes at zoom 12, and squared distances from their tile's upper left corner in degrees."""
+    nodes, z = located(now(spark, d, "nodes")), F.lit(12)
+    x, y = tiles.tile_column(geo.mercator_x(F.col("x")), z), tiles.tile_row(geo.mercator_y(F.col("y")), z)
+    apart = geo.squared_distance(F.col("x"), F.col("y"), F.floor("x"), F.floor("y"))
+    return nodes.select("id", tiles.tile_path(z, x, y, True).alias("path"), tiles.ancestor(x, 4).alias("above"), F.round(apart, 9).alias("apart"))
+
+
 def _was(table: str, columns: str) -> str:
     return current_sql(f"(SELECT * FROM {table} WHERE coalesce(sequence, 0) < {BEFORE})", columns)
 
@@ -458,6 +509,13 @@ SELECT obj, id, coalesce(fr, de, name) AS name,
   CASE WHEN colon > 0 AND lang = 'de' THEN title_ END AS title,
   CASE WHEN lower(regexp_extract(raw, '^([A-Za-z][A-Za-z0-9+.-]*)://[^/?#]+', 1)) IN ('http', 'https') THEN raw END AS url FROM l"""
 
+_ALL_OBJECTS = " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, id, version, visible, uid, tags, {x} AS x, {y} AS y, {n} AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, sequence DESC) AS rn FROM {t}) WHERE rn = 1"
+    for k, t, x, y, n in (("N", "nodes", "x", "y", "NULL"), ("W", "ways", "NULL", "NULL", "nodes"), ("R", "relations", "NULL", "NULL", "NULL"))
+)
+_ROADS = f"(SELECT * FROM {_WAYS} WHERE list_contains(map_keys(tags), 'highway'))"
+_PIECE = "CASE WHEN {0} < 1000 THEN {0} || '/o' ELSE left({0}::VARCHAR, 3) || '/' || substr({0}::VARCHAR, 4) END"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -465,6 +523,7 @@ QUERIES = {
         relation_ways, relation_ways_geom, relation_ways_update, hierarchy, hierarchy_closure, grouped_ways, segments_intersections, segments,
         segments_lengths, route_geometry, tag_functions, tag_links, tag_links_all, tile_numbers, tile_plan, node_ewkb, change_diff, apply_upsert,
         status_min_sequence, feed_actions, parents_seen, relation_ways_changes, hierarchy_update, grouped_ways_update, segments_update, tile_lookup,
+        pipeline_lines, opl_round_trip, status_table, node_functions,
     )
 }
 ORACLES = {
@@ -510,3 +569,12 @@ ORACLES = {
     "parents_seen": "SELECT id AS key, NOT arg_max(visible, version) AS deleted FROM ways GROUP BY id",
 }
 ORACLES |= {"grouped_ways_update": ORACLES["grouped_ways"], "segments_update": ORACLES["segments_lengths"]}
+ORACLES |= {
+    "pipeline_lines": f"SELECT id, n::INT AS nodes, {_ENDS} FROM {_lines_sql(_ROADS, _NODES)}",
+    "opl_round_trip": f"""SELECT kind, id, version, visible, uid, array_to_string([e.key || '=' || coalesce(e.value, '') FOR e IN list_sort(map_entries(coalesce(tags, MAP {{}})))], '|') AS tags, x, y,
+      array_to_string([v FOR v IN coalesce(nodes, []) IF v IS NOT NULL], ',') AS nodes FROM ({_ALL_OBJECTS})""",
+    "status_table": """SELECT part, s::INT AS sequence, epoch_us(t) AS micros FROM (SELECT part, max(sequence) FILTER (WHERE state = 'ok') AS s,
+      arg_max(date, sequence) FILTER (WHERE state = 'ok' AND sequence IS NOT NULL) AS t FROM status WHERE part IS NOT NULL GROUP BY part)""",
+    "node_functions": f"""SELECT id, '12/' || {_PIECE.format('tx')} || '/' || {_PIECE.format('ty')} || '.png' AS path, tx >> 4 AS above, round(pow(x - floor(x), 2) + pow(y - floor(y), 2), 9) AS apart
+      FROM (SELECT id, x, y, {_TX} AS tx, {_TY} AS ty FROM {_NODES} WHERE x BETWEEN -180 AND 180 AND y BETWEEN -85 AND 85 AND NOT (x = 0 AND y = 0))""",
+}
