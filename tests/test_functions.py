@@ -9,7 +9,7 @@ from wayloom.functions import geo, tags, tiles
 from wayloom.model import Source
 from wayloom.operators import relational as rel
 from wayloom.operators.route import nested_route_lines, route_lines, stitch
-from wayloom.operators.tiling import apply_plan, plan_tiles, touched_tiles
+from wayloom.operators.tiling import apply_plan, fill_tiles, find_tiles, plan_tiles, touched_tiles, write_tiles
 from wayloom.sources.snapshot import NoStatus, StatusManager
 
 
@@ -224,6 +224,46 @@ def test_points_of_all_sorts_of_wkb(spark):
     assert df.limit(0).select(geo.point_of_ewkb(F.col("geom"))).count() == 0
 
 
+def test_tile_store_look_up_and_files(spark, tmp_path):
+    ids = lambda z, x, y: z + (x << 5) + (y << (5 + z))
+    store = spark.createDataFrame([(ids(2, 1, 3), b"p"), (ids(2, 0, 0), None)], "id bigint, pixbuf binary")
+    asked = [(2, 1, 3, "a"), (2, 0, 0, "b"), (2, 3, 3, "c"), (4, 5, 13, "d"), (4, 2, 2, "e"), (4, 15, 15, "f"), (0, 0, 0, "g")]
+    got = find_tiles(store, spark.createDataFrame(asked, "zoom int, x bigint, y bigint, state0 string"), 2)
+    assert {r.state0: (r.state, bytes(r.pixbuf) if r.pixbuf else None) for r in got.collect()} == {
+        "a": ("stored", b"p"), "b": ("render", None), "c": ("empty", None), "d": ("render", None), "e": ("render", None), "f": ("empty", None), "g": ("empty", None),
+    }
+    new = spark.createDataFrame([(ids(2, 1, 3), b"q"), (ids(2, 0, 0), b"r"), (99, b"s")], "id bigint, pixbuf binary")
+    assert {r.id: bytes(r.pixbuf) for r in fill_tiles(store, new).collect()} == {ids(2, 1, 3): b"p", ids(2, 0, 0): b"r"}
+    pictures = spark.createDataFrame([(2, 1, 3, b"p"), (12, 1234, 56, None)], "zoom int, x bigint, y bigint, pixbuf binary")
+    paths = sorted(r.path for r in write_tiles(pictures, f"file://{tmp_path}/tiles").collect())
+    assert paths == ["12/123/4/56/o.png", "2/1/3.png"]
+    assert [(tmp_path / "tiles" / p).read_bytes() for p in paths] == [b"", b"p"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_touched_tiles_against_all_tiles(spark, seed):
+    rng, w = random.Random(seed), tiles.HALF_WORLD
+    spots = [(rng.uniform(-w, w), rng.uniform(-w, w)) for _ in range(6)] + [(0.0, 5.0), (0.0, 9e6), (-3e6, 5.0)]
+    lines = [[rng.choice(spots), rng.choice(spots)] for _ in range(12)]
+
+    def crosses(a, b, box):
+        """The part of the stretch within each pair of sides."""
+        lo, hi = 0.0, 1.0
+        for p, d, s, t in ((a[0], b[0] - a[0], box[0], box[2]), (a[1], b[1] - a[1], box[1], box[3])):
+            if d == 0:
+                if not s <= p <= t:
+                    return False
+            else:
+                lo, hi = max(lo, min((s - p) / d, (t - p) / d)), min(hi, max((s - p) / d, (t - p) / d))
+        return lo <= hi
+
+    size = 2 * w / 16
+    want = {(x, y) for a, b in lines for x in range(16) for y in range(16) if crosses(a, b, (x * size - w, w - (y + 1) * size, (x + 1) * size - w, w - y * size))}
+    got = rows(touched_tiles(line(spark, *lines), 2, 4), "zoom", "x", "y")
+    assert {(x, y) for z, x, y in got if z == 4} == want
+    assert {(x, y) for z, x, y in got if z == 2} == {(x >> 2, y >> 2) for x, y in want}
+
+
 def test_selectors(spark):
     s = Source(grid(spark, 1, 2), changes(spark, "A1", "M2", "D3", "C4"))
     ids = lambda df: [r[0] for r in rows(df, "id")]
