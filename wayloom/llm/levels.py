@@ -35,7 +35,10 @@ SAMPLES = 20_000
 COUNTED, BATCH, KNOWN = 500_000, 256, 300_000
 _BREAK = re.compile(r"</?(?:p|br|li|div|h[1-6]|tr|td)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
-_SENTENCE = re.compile(r"(?<=[^\W\d_]{2})[.!?]+(?=\s|$)|(?<=[^\W\d_.!?])[ \t]*\n+(?=\s*[^\W\d_a-z])|(?<=[^\W\d_])[ \t]*\n\n")
+#: Ends of sentences: marks after a word, and line ends after one, before a capital or with an empty line. What stands
+#: before is looked at after the first character, so that the search is for that character alone.
+_MARK = re.compile(r"[.!?](?<=[^\W\d_]{2}.)[.!?]*(?=\s|$)")
+_LINE = re.compile(r"[ \t\n](?:(?<=[^\W\d_][ \t])[ \t]*\n(?:\n*(?=\s*[^\W\d_a-z])|\n)|(?<=[^\W\d_]\n)(?:\n*(?=\s*[^\W\d_a-z])|\n))")
 #: Stand for the end of a sentence and of a text among the tokens.
 _STOP, _END = "\x01", "\x02"
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|[.!?:\n,\x01\x02]")
@@ -97,6 +100,12 @@ def plain(text: str) -> str:
     return _TAG.sub(" ", _BREAK.sub("\n\n", text)) if "<" in text else text
 
 
+def _stopped(text: str) -> str:
+    """The text with _STOP for each end of a sentence."""
+    text = _CONTROL.sub(" ", text)
+    return _MARK.sub(_STOP, _LINE.sub(_STOP, text) if "\n" in text else text)
+
+
 #: What is known of a token by itself.
 _OWN = (
     "word", *CONNECTIVES, "connective", "connective rarity", "deep", "personal", "of", "the", "length", "derived", "short", "rarity", "odd", "capital",
@@ -154,7 +163,7 @@ def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray
     """
     if len(lexicon) > KNOWN:
         lexicon.reset()
-    joined = _END.join(_SENTENCE.sub(_STOP, _CONTROL.sub(" ", plain(t))) for t in texts) + _END
+    joined = _END.join(_stopped(plain(t)) for t in texts) + _END
     tokens = _TOKEN.findall(joined)
     ids = np.fromiter(map(lexicon.__getitem__, tokens), np.int64, len(tokens))
     get = lambda name, at: lexicon.table[at, _AT[name]]
