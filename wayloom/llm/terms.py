@@ -26,10 +26,10 @@ GRAMS = "grp string, gram array<string>, occurrences bigint, records bigint"
 
 def _shared(a: Column, b: Column, n: int) -> Column:
     """Number of leading terms that two suffixes have in common, up to n."""
-    total = F.lit(0)
-    for k in range(1, n + 1):
-        same = (F.size(a) >= k) & (F.size(b) >= k) & (F.slice(a, 1, k) == F.slice(b, 1, k))
-        total = total + F.when(same, 1).otherwise(0)
+    total, so_far = F.lit(0), F.lit(True)
+    for k in range(n):
+        so_far = so_far & (F.size(a) > k) & (F.size(b) > k) & F.get(a, k).eqNullSafe(F.get(b, k))
+        total = total + so_far.cast("int")
     return total
 
 
