@@ -72,29 +72,33 @@ def apply_changes(df: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(batch.where(F.col("action") != DELETE).select(*df.columns))
 
 
+def _compared(old: DataFrame, new: DataFrame, columns: Sequence[str] | None, key: str) -> DataFrame:
+    """(key, action, row) of each key whose row was added, deleted or differs in one of columns; row is the new one."""
+    columns = [c for c in (columns or new.columns) if c != key]
+    mark = lambda df: F.struct(F.lit(1), *(comparable(df, c).alias(f"c{i}") for i, c in enumerate(columns)))
+    was = old.select(key, mark(old).alias("was"))
+    both = was.join(new.select(key, mark(new).alias("is"), F.struct(*new.columns).alias("row")), key, "full_outer")
+    action = F.when(F.col("was").isNull(), ADD).when(F.col("is").isNull(), DELETE).when(~F.col("was").eqNullSafe(F.col("is")), MODIFY)
+    return both.select(key, action.alias("action"), "row").where(F.col("action").isNotNull())
+
+
 def difference(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = None, key: str = "id") -> DataFrame:
     """(key, action) of each key whose row was added, deleted or differs in one of columns.
 
     Nulls equal nulls, maps compare by their entries, lines by exact coordinates.
     """
-    columns = [c for c in (columns or new.columns) if c != key]
-    mark = lambda df: df.select(key, F.struct(F.lit(1), *(comparable(df, c).alias(f"c{i}") for i, c in enumerate(columns))).alias("row"))
-    both = mark(old).withColumnRenamed("row", "was").join(mark(new).withColumnRenamed("row", "is"), key, "full_outer")
-    action = F.when(F.col("was").isNull(), ADD).when(F.col("is").isNull(), DELETE).when(~F.col("was").eqNullSafe(F.col("is")), MODIFY)
-    return both.select(key, action.alias("action")).where(F.col("action").isNotNull())
+    return _compared(old, new, columns, key).select(key, "action")
 
 
 def refreshed(old: DataFrame, fresh: DataFrame, affected: DataFrame, columns: Sequence[str] | None = None) -> Source:
     """The table and its changes after the affected ids were computed anew; rows that stay the same are no changes.
 
-    What was computed anew and the changes are written once, as table, changes and new rows all come from them.
+    What has changed is written once, as table, changes and new rows all come from it.
     """
-    before, fresh = old.join(affected.select("id").distinct(), "id", "left_semi"), cut(fresh)
-    change = cut(difference(before, fresh, columns))
-    touched = change.select("id")
-    put = fresh.join(change.where(F.col("action") != DELETE).select("id"), "id", "left_semi")
-    put = put.select(*old.columns)
-    return Source(old.join(touched, "id", "left_anti").unionByName(put), change, put)
+    before = old.join(affected.select("id").distinct(), "id", "left_semi")
+    delta = cut(_compared(before, fresh, columns, "id"))
+    put = delta.where(F.col("action") != DELETE).select("row.*").select(*old.columns)
+    return Source(old.join(delta.select("id"), "id", "left_anti").unionByName(put), delta.select("id", "action"), put)
 
 
 def holding(df: DataFrame, array: str, ids: DataFrame) -> DataFrame:
